@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_bars", "queries_levels")
+MODULES = ("queries_bars", "queries_levels", "queries_patterns")
 
 
 def _registries():

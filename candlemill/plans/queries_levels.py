@@ -168,7 +168,7 @@ dtop AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY strength DESC
 csrc AS (SELECT m.* EXCLUDE (rn, near), (max_high + min_low) / 2 * 0.0015 AS near FROM mtop m JOIN stats s USING (symbol, timeframe)
   WHERE price BETWEEN min_low - (max_high - min_low) * 0.1 AND max_high + (max_high - min_low) * 0.1),
 {walk("csrc", "touches DESC, pos", "abs(k.price - x.price) <= x.near", "{'price': x.price}", "flat")},
-levels AS MATERIALIZED (SELECT symbol, timeframe, 'horizontal' AS sr_type, role, price, 0.0 AS slope, 0 AS anchor_idx, strength, touches, rn AS pos FROM flat
+levels AS MATERIALIZED (SELECT symbol, timeframe, 'horizontal' AS sr_type, role, price, CAST(0.0 AS DOUBLE) AS slope, 0 AS anchor_idx, strength, touches, rn AS pos FROM flat
   UNION ALL SELECT d.symbol, d.timeframe, 'diagonal', role, price, slope, i2, strength, touches, pos + 1000000 FROM dtop d JOIN stats s USING (symbol, timeframe)
   WHERE price BETWEEN min_low - (max_high - min_low) * 0.1 AND max_high + (max_high - min_low) * 0.1)"""
 
