@@ -67,9 +67,8 @@ def own_diagonals(
     points: DataFrame, stats: DataFrame, cfg: AnalysisConfig, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     lines = lv.diagonal_lines(points, stats, cfg.diagonal, keys)
-    return lv.top_levels(
-        lv.dedupe_diagonals(lines, stats, cfg.diagonal, keys), cfg.max_diagonals, keys
-    ).drop("i1")
+    # The dedupe walks by strength, so the first it keeps are the strongest it would keep.
+    return lv.dedupe_diagonals(lines, stats, cfg.diagonal, keys, cfg.max_diagonals).drop("i1")
 
 
 def _finish(

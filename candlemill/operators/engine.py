@@ -340,10 +340,10 @@ def best_params(swept: DataFrame, metric: str, run: Sequence[str]) -> DataFrame:
 def folds(runs: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     """Train and test ranges per series (ends exclusive), while the test range fits."""
     spare = F.col("n_bars") - (cfg.train + cfg.test)
-    number = F.explode(F.when(spare >= 0, F.sequence(F.lit(0), F.floor(spare / cfg.step))))
+    number = F.explode(F.when(spare >= 0, F.sequence(F.lit(0).cast("bigint"), F.floor(spare / cfg.step))))
     start = F.col("fold") * cfg.step
     begin = start if cfg.mode == "rolling" else F.lit(0)
-    return runs.withColumn("fold", number.cast("bigint")).withColumns({
+    return runs.withColumn("fold", number).withColumns({
         "train_start": begin.cast("bigint"), "train_end": start + cfg.train,
         "test_start": start + cfg.train, "test_end": start + cfg.train + cfg.test,
     }).drop("n_bars")

@@ -196,10 +196,12 @@ def diagonal_lines(
 
 def greedy_keep(
     levels: DataFrame, keys: Sequence[str], order: Sequence[Column],
-    clash: Callable[[Column, Column], Column], extra: Sequence[str] = (),
+    clash: Callable[[Column, Column], Column], first: int | None = None,
 ) -> DataFrame:
     """Walk each series' levels in ``order`` and keep those that clash with none kept so far.
 
+    ``first`` stops after that many are kept, for callers that want only the head.
+
     Works on one array per series; a series has at most its price range over the cluster
     distance many levels.
     """
@@ -209,14 +211,16 @@ def greedy_keep(
     packed = levels.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*ranked, *cols))).alias("_all")
     )
-    first = packed.join(levels.select(*keys, *extra).distinct(), keys) if extra else packed
+    def full(acc: Column) -> Column:
+        return F.lit(False) if first is None else F.size(acc) >= first
+
     kept = F.aggregate(
         "_all", F.slice("_all", 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc)
+        lambda acc, x: F.when(full(acc), acc).when(F.exists(acc, lambda k: clash(k, x)), acc)
                         .otherwise(F.concat(acc, F.array(x))),
     )
     return (
-        first.select(*keys, F.posexplode(kept).alias("pos", "_l"))
+        packed.select(*keys, F.posexplode(kept).alias("pos", "_l"))
         .select(*keys, "pos", *[F.col(f"_l.{c}").alias(c) for c in cols])
     )
 
@@ -236,7 +240,7 @@ def dedupe_diagonals(
         )
 
     order = [-F.col("strength"), F.col("role"), F.col("i1"), F.col("anchor_idx")]
-    return greedy_keep(lines.join(own, list(keys)), keys, order, clash).drop("_near")
+    return greedy_keep(lines.join(own, list(keys)), keys, order, clash, first).drop("_near")
 
 
 def merge_levels(
@@ -324,12 +328,10 @@ def dedupe_by_touches(
     def clash(kept: Column, x: Column) -> Column:
         return F.abs(kept["price"] - x["price"]) <= x["_near"]
 
-    order = [-F.col("touches"), F.col("pos")]
+    ranked = levels.withColumnRenamed("pos", "_rank").join(own, list(keys))
     return greedy_keep(
-        levels.withColumnRenamed("pos", "_p").withColumn("pos", F.col("_p")).drop("_p")
-        .join(own, list(keys)).withColumnRenamed("pos", "pos0"), keys,
-        [-F.col("touches"), F.col("pos0")], clash,
-    ).drop("_near", "pos0")
+        ranked, keys, [-F.col("touches"), F.col("_rank")], clash
+    ).drop("_near", "_rank")
 
 
 def match_pins(

@@ -98,12 +98,13 @@ def choose(
         (F.col("confidence") >= min_confidence)
         & ((F.col("entry") == F.col("stop")) | (F.col("filter_rr") >= min_rr))
     )
+    gate = F.col("allowed") if "allowed" in found.columns else F.lit(True)
     if not dedupe:
-        return ok
+        return ok.filter(gate)
     w = Window.partitionBy(*keys, F.round("entry", 2), "direction").orderBy(
         F.col("confidence").desc(), "idx"
     )
-    return ok.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return ok.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") == 1) & gate).drop("_rn")
 
 
 def generate(
@@ -175,11 +176,14 @@ def pattern_emitter(
 def regime_gate(
     inner: Emitter, allowed: Sequence[str], cfg: RegimeConfig = RegimeConfig()
 ) -> Emitter:
-    """Pass setups whose bar is in an allowed regime, judged on the same series."""
+    """Pass the inner source's signals whose bar is in an allowed regime of the same series.
+
+    The gate comes after the inner source's own dedupe, so it rides along as ``allowed``.
+    """
 
     def run(bars: DataFrame, keys: list[str]) -> DataFrame:
         state = ind.with_regime(bars, cfg, keys).select(*keys, "idx", "regime")
-        gated = inner.setups(bars, keys).join(state, keys + ["idx"])
-        return gated.filter(F.col("regime").isin(*allowed)).drop("regime")
+        found = inner.setups(bars, keys).join(state, keys + ["idx"])
+        return found.withColumn("allowed", F.col("regime").isin(*allowed)).drop("regime")
 
     return Emitter(run, inner.dedupe, inner.min_confidence, inner.min_rr)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_bars", "queries_levels", "queries_patterns")
+MODULES = ("queries_bars", "queries_levels", "queries_patterns", "queries_signals")
 
 
 def _registries():
