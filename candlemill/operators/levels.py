@@ -227,7 +227,7 @@ def greedy_keep(
 
 def dedupe_diagonals(
     lines: DataFrame, stats: DataFrame, cfg: DiagonalConfig = DiagonalConfig(),
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] = KEYS, first: int | None = None,
 ) -> DataFrame:
     """Keep the stronger of two lines of a role with near slope and near price."""
     own = stats.select(*keys, (F.col("avg_atr") * cfg.intercept_atr).alias("_near"))

@@ -45,9 +45,9 @@ def parse_flows(raw: DataFrame) -> DataFrame:
     first, second = F.trim(F.get(ends, 0)), F.trim(F.get(ends, 1))
     day = F.when(weekly, first).otherwise(F.trim("date"))
     return raw.select(
-        "symbol", F.try_to_date(day, F.lit("yyyy-MM-dd")).alias("flow_date"), "period_type",
-        F.when(weekly, F.try_to_date(first, F.lit("yyyy-MM-dd"))).alias("week_start"),
-        F.when(weekly, F.try_to_date(second, F.lit("yyyy-MM-dd"))).alias("week_end"),
+        "symbol", F.try_to_date(day, "yyyy-MM-dd").alias("flow_date"), "period_type",
+        F.when(weekly, F.try_to_date(first, "yyyy-MM-dd")).alias("week_start"),
+        F.when(weekly, F.try_to_date(second, "yyyy-MM-dd")).alias("week_end"),
         F.trim(F.coalesce("direction", F.lit("N"))).alias("direction"),
         F.trim(F.coalesce("long_short", F.lit(""))).alias("long_short"),
         rank.alias("rank"), total.alias("rank_total"),
