@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions.quantile import exact_median
+from candlemill.session import materialize
 
 CAPITAL = 100_000.0
 # Rank ranges and holding periods of the sweep, and report buckets.
@@ -249,7 +250,7 @@ def compare(
     """One row per run: trade metrics, drawdown, benchmark and alpha. Empty runs are absent."""
     spark = prices.sparkSession
     table = run_table(spark, runs)
-    done = trades(selections(rankings, table, max(r.top_n for r in runs)), prices)
+    done = materialize(trades(selections(rankings, table, max(r.top_n for r in runs)), prices), "trades")
     return summary(done, prices, table, rankings, bench)
 
 

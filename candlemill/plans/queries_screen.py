@@ -133,9 +133,9 @@ def _(spark, sf):
     return pick(scored(spark, sf), "symbol pattern_type recommendation", composite=3)
 
 
-@reg.add("f9_candidates", f"{RK}, {SCORED} SELECT symbol, rank, status, {rnd('close', 1)} AS current_price, {rnd('(close - entry) / entry * 100', 1)} AS distance_to_entry_pct, last_idx - breakout_idx AS bars_since_breakout FROM scored")
+@reg.add("f9_candidates", f"{RK}, {SCORED} SELECT symbol, rank, status, {rnd('close', 0)} AS current_price, {rnd('(close - entry) / entry * 100', 0)} AS distance_to_entry_pct, last_idx - breakout_idx AS bars_since_breakout FROM scored")
 def _(spark, sf):
-    return pick(longs(scored(spark, sf), "rank"), "symbol rank status bars_since_breakout", current_price=1, distance_to_entry_pct=1)
+    return pick(longs(scored(spark, sf), "rank"), "symbol rank status bars_since_breakout", current_price=0, distance_to_entry_pct=0)
 
 
 @reg.add("f10_alerts", f"{RK}, {SCORED} SELECT symbol, recommendation, pattern_type IS NOT NULL AS has_detail FROM scored ORDER BY round(score, 4) DESC, rank, symbol LIMIT 20")

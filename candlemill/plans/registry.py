@@ -34,6 +34,6 @@ def r(col: Column | str, digits: int = 4) -> Column:
     return out.alias(name) if name else out
 
 
-def pick(df: DataFrame, plain: str, digits: int = 4, **rounded: int) -> DataFrame:
+def pick(df: DataFrame, plain: str, **rounded: int) -> DataFrame:
     """Select ``plain`` columns as they are and ``name=digits`` columns rounded."""
-    return df.select(*plain.split(), *[r(n, d or digits) for n, d in rounded.items()])
+    return df.select(*plain.split(), *[r(n, d) for n, d in rounded.items()])

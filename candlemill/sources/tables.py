@@ -87,13 +87,15 @@ def supplier_prices_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market_index_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two daily series: mean unit price (the signal) and mean line value (the asset)."""
-    day = F.date_trunc("day", "l_shipdate").cast("timestamp_ntz")
-    price = F.try_divide("l_extendedprice", "l_quantity")
+def market_series_raw(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """Market-wide series: mean unit price (the signal) and mean line value (the asset)."""
+    # cents keep the sums exact in any order
+    value = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100
     return (
-        read(spark, sf_dir, "lineitem").groupBy(day.alias("ts"))
-        .agg(F.max(price).alias("signal_close"), F.max("l_extendedprice").alias("asset_close"))
+        read(spark, sf_dir, "lineitem")
+        .groupBy(F.date_trunc(unit, "l_shipdate").cast("timestamp_ntz").alias("ts"))
+        .agg((value / F.sum("l_quantity")).alias("signal_close"),
+             (value / F.count(F.lit(1))).alias("asset_close"))
         .withColumn("symbol", F.lit("MARKET"))
     )
 
