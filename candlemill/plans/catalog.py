@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_bars", "queries_levels", "queries_patterns", "queries_signals", "queries_sources", "queries_screen", "queries_rank", "queries_crossover", "queries_learn")
+MODULES = ("queries_bars", "queries_levels", "queries_patterns", "queries_signals", "queries_sources", "queries_screen", "queries_rank", "queries_crossover", "queries_learn", "queries_streaming")
 
 
 def _registries():
