@@ -83,6 +83,11 @@ def dense_setups(spark, sf):
         week(spark, sf), sg.pin_bar_emitter(), DENSE, list(KEYS)))
 
 
+def dense_emitter(spark, sf, conf=0.5, rr=1.0):
+    """The pin-bar source over the setups already found for every prefix."""
+    return sg.Emitter(lambda bars_, keys: dense_setups(spark, sf).drop("last"), True, conf, rr)
+
+
 @reg.add("e5_pin_bar_emitter")
 def _(spark, sf):
     found = sg.choose(dense_setups(spark, sf), F.lit(0.5), F.lit(1.0), True, [*KEYS, "eval_idx"])
@@ -231,8 +236,7 @@ def _(spark, sf):
 
 @reg.add("g5_backtest")
 def _(spark, sf):
-    emitter = sg.pin_bar_emitter(cfg=SignalConfig(min_confidence=0.5, min_rr=1.0))
-    out = en.backtest(week(spark, sf), emitter, DENSE)
+    out = en.backtest(week(spark, sf), dense_emitter(spark, sf), DENSE)
     return pick(out, "symbol trade_id direction entry_idx exit_idx exit_reason", entry_price=4, exit_price=4, net_pnl=4, mae=4, mfe=4)
 
 
@@ -245,7 +249,7 @@ def _(spark, sf):
 
 @reg.add("g8_sweep")
 def _(spark, sf):
-    out = en.sweep(week(spark, sf), sg.pin_bar_emitter(), DENSE)
+    out = en.sweep(week(spark, sf), dense_emitter(spark, sf), DENSE)
     return pick(out, "symbol param_id min_confidence min_rr_ratio total_trades", total_net_pnl=4, sharpe_ratio=5, profit_factor=5, max_drawdown_pct=6)
 
 
@@ -270,6 +274,5 @@ def _(spark, sf):
 
 @reg.add("g11_portfolio")
 def _(spark, sf):
-    emitter = sg.pin_bar_emitter(cfg=SignalConfig(min_confidence=0.5, min_rr=1.0))
-    _, whole = en.portfolio(week(spark, sf), emitter, DENSE)
+    _, whole = en.portfolio(week(spark, sf), dense_emitter(spark, sf), DENSE)
     return pick(whole, "total_trades", total_net_pnl=4, sharpe_ratio=5, max_drawdown_pct=6, final_equity=4)
