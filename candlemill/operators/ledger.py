@@ -116,9 +116,9 @@ def with_exits(cands: DataFrame, prices: DataFrame) -> DataFrame:
     closing = F.col("use_close")
     cut = F.col("entry_price") * (1 - F.col("hard_stop"))
     stop_bar = F.when(~closing | (F.col("stop_limit") & hard), F.col("low") <= F.col("stop")).when(
-        hard, (F.col("close") - F.col("entry_price")) / F.col("entry_price") <= -F.col("hard_stop")).otherwise(False)
+        hard, F.try_divide(F.col("close") - F.col("entry_price"), F.col("entry_price")) <= -F.col("hard_stop")).otherwise(False)
     stop_blk = F.when(~closing | (F.col("stop_limit") & hard), F.col("_lo") <= F.col("stop")).when(
-        hard, (F.col("_lc") - F.col("entry_price")) / F.col("entry_price") <= -F.col("hard_stop")).otherwise(False)
+        hard, F.try_divide(F.col("_lc") - F.col("entry_price"), F.col("entry_price")) <= -F.col("hard_stop")).otherwise(False)
     hit_bar = F.when(closing, F.col("close") >= F.col("target")).otherwise(F.col("high") >= F.col("target"))
     hit_blk = F.when(closing, F.col("_hc") >= F.col("target")).otherwise(F.col("_hi") >= F.col("target"))
     aged = (F.col("max_hold") > 0) & (F.col("pos") - F.col("entry_pos") >= F.col("max_hold"))
@@ -251,7 +251,7 @@ def run(
 def results(done: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Return, win rate, median, Sharpe, drawdown and exit counts per scenario."""
     trades = done.filter(F.col("kind") == "trade").withColumn(
-        "return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price"))
+        "return_pct", F.try_divide(F.col("exit_price") - F.col("entry_price"), F.col("entry_price")))
     per = trades.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("total_trades"), F.avg((F.col("return_pct") > 0).cast("double")).alias("win_rate"),
         (F.avg("return_pct") * 100).alias("avg_return_pct"),
@@ -277,7 +277,7 @@ def results(done: DataFrame, scenarios: DataFrame) -> DataFrame:
 def extremes(done: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best and worst trades of each scenario."""
     trades = done.filter(F.col("kind") == "trade").withColumn(
-        "return_pct", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price"))
+        "return_pct", F.try_divide(F.col("exit_price") - F.col("entry_price"), F.col("entry_price")))
     w = Window.partitionBy("scenario")
     tie = ["lpos", "symbol"]
     out = trades.withColumns({

@@ -174,7 +174,7 @@ def diagonal_lines(
     pairs = a.join(b, side).filter(F.col("i1") < F.col("i2")).join(
         stats.select(*keys, (F.col("avg_atr") * cfg.tolerance_atr).alias("_tol"),
                      (F.col("n_bars") - 1).alias("_last")), keys
-    ).withColumn("slope", (F.col("p2") - F.col("p1")) / (F.col("i2") - F.col("i1")))
+    ).withColumn("slope", F.try_divide(F.col("p2") - F.col("p1"), F.col("i2") - F.col("i1")))
     line = [*side, "i1", "i2", "p1", "t1", "t2", "slope", "_last"]
     off = F.abs(F.col("price") - (F.col("p1") + F.col("slope") * (F.col("idx") - F.col("i1"))))
     touched = (

@@ -284,8 +284,9 @@ def _triangle_candidates(
         F.min_by("price", "idx").alias("l1"), F.max_by("price", "idx").alias("l2"),
     ).filter((F.col("_n") >= 2) & (F.col("l2") > F.col("l1")))
     i1, i2, j1, j2, h1, h2, l1, l2 = (F.col(x) for x in ("i1", "i2", "j1", "j2", "h1", "h2", "l1", "l2"))
-    up, dn = (h2 - h1) / (i2 - i1), (l2 - l1) / (j2 - j1)
-    apex = (h1 - l1 + dn * j1 - up * i1) / (dn - up)
+    # filters and projections may be merged and reordered, so no division here may raise
+    up, dn = F.try_divide(h2 - h1, i2 - i1), F.try_divide(l2 - l1, j2 - j1)
+    apex = F.try_divide(h1 - l1 + dn * j1 - up * i1, dn - up)
     tri = tri.filter(_span(i1, F.greatest(i2, j2), cfg)).withColumns({
         "_up": up, "_dn": dn, "_len": apex - i1,
     }).filter(F.col("_len") > 0)

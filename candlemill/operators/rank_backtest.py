@@ -148,7 +148,7 @@ def trades(picks: DataFrame, prices: DataFrame, strict_exit: bool = False) -> Da
                     F.col("open").alias("entry_price"))
     sell = at.select("symbol", F.col("pos").alias("exit_pos"), F.col("date").alias("exit_date"),
                      F.col("close").alias("exit_price"))
-    gain = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")
+    gain = F.try_divide(F.col("exit_price") - F.col("entry_price"), F.col("entry_price"))
     return (
         placed.join(buy, ["symbol", "entry_pos"]).join(sell, ["symbol", "exit_pos"])
         .filter((F.col("entry_price") > 0) & F.col("exit_price").isNotNull())
@@ -210,7 +210,7 @@ def equity_curve(done: DataFrame, prices: DataFrame) -> DataFrame:
     prev = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     moves = held.withColumn("_ref", F.coalesce(prev, "entry_price"))
     day = moves.filter(F.col("close").isNotNull() & (F.col("_ref") > 0)).groupBy("run_id", "pos").agg(
-        F.avg((F.col("close") - F.col("_ref")) / F.col("_ref")).alias("day_return"))
+        F.avg(F.try_divide(F.col("close") - F.col("_ref"), F.col("_ref"))).alias("day_return"))
     begin = done.groupBy("run_id").agg(F.min(F.struct("data_date", "entry_pos"))["entry_pos"].alias("_b"))
     grid = begin.crossJoin(days.select("date", "pos")).filter(F.col("pos") >= F.col("_b"))
     along = Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -241,7 +241,7 @@ def benchmark(prices: DataFrame, symbol: str, first_signal: DataFrame) -> DataFr
         F.col("close").alias("_end"))
     got = start.join(own.select("date", "open"), "date").crossJoin(end)
     return got.filter(F.col("open") > 0).select(
-        "run_id", ((F.col("_end") - F.col("open")) / F.col("open") * 100).alias("benchmark_return_pct"))
+        "run_id", (F.try_divide(F.col("_end") - F.col("open"), F.col("open")) * 100).alias("benchmark_return_pct"))
 
 
 def compare(

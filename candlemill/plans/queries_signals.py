@@ -218,10 +218,13 @@ _LATE = EXITS.replace("FROM fill f LEFT JOIN ex", "FROM (SELECT * FROM fill WHER
 
 @reg.add("g6_metrics", f"""{_S}, {_LATE}, {CURVE},
 pk AS (SELECT *, greatest(10000000.0, max(equity) OVER (PARTITION BY symbol ORDER BY step ROWS UNBOUNDED PRECEDING)) AS peak, delta / (equity - delta) AS ret FROM curve),
-eq AS (SELECT symbol, max((peak - equity) / peak) AS dd, avg(ret) / stddev_pop(ret) * sqrt(252) AS sharpe FROM pk GROUP BY symbol)
-SELECT symbol, count(*) AS total_trades, count(*) FILTER (WHERE net_pnl > 0) AS winners, {rnd('any_value(dd)', 6)} AS max_drawdown_pct, {rnd('any_value(sharpe)', 5)} AS sharpe_ratio,
-{rnd('sum(net_pnl)', 3)} AS total_net_pnl, {rnd('coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0.0) / abs(sum(net_pnl) FILTER (WHERE net_pnl <= 0))', 5)} AS profit_factor,
-{rnd('avg(mae)', 3)} AS avg_mae, {rnd('avg(hold_bars)', 5)} AS avg_hold_bars, {rnd('max(net_pnl)', 3)} AS largest_win FROM trades JOIN eq USING (symbol) GROUP BY symbol""")
+eq AS (SELECT symbol, max((peak - equity) / peak) AS dd, coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0) AS sharpe FROM pk GROUP BY symbol),
+agg AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE net_pnl > 0) AS won, sum(net_pnl) AS net, coalesce(sum(net_pnl) FILTER (WHERE net_pnl > 0), 0.0) AS w,
+  abs(coalesce(sum(net_pnl) FILTER (WHERE net_pnl <= 0), 0.0)) AS l, avg(mae) AS mae, avg(hold_bars) AS hold, max(net_pnl) AS best FROM trades GROUP BY symbol)
+SELECT s.symbol, coalesce(n, 0) AS total_trades, coalesce(won, 0) AS winners, {rnd('coalesce(dd, 0.0)', 6)} AS max_drawdown_pct, {rnd('coalesce(sharpe, 0.0)', 5)} AS sharpe_ratio,
+{rnd('coalesce(net, 0.0)', 3)} AS total_net_pnl, CASE WHEN l > 0 THEN {rnd('w / l', 5)} WHEN w > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS profit_factor,
+{rnd('coalesce(mae, 0.0)', 3)} AS avg_mae, {rnd('coalesce(hold, 0.0)', 5)} AS avg_hold_bars, {rnd('coalesce(best, 0.0)', 3)} AS largest_win
+FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN agg USING (symbol) LEFT JOIN eq USING (symbol)""")
 def _(spark, sf):
     out = en.metrics(_unlimited(spark, sf), en.runs_of(week(spark, sf)), KEYS, WIDE)
     return pick(out, "symbol total_trades winners", max_drawdown_pct=6, sharpe_ratio=5, total_net_pnl=3,

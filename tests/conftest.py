@@ -19,6 +19,8 @@ SMOKE = "/root/testdata/sf0.001"
 def spark():
     session = local_session(8, "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # tiny inputs: compiling code would take longer than running it
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
 
 
