@@ -108,7 +108,8 @@ def training_frame(
 
 def export(frame: DataFrame, path: str) -> None:
     """Write a training frame partitioned by symbol."""
-    frame.write.mode("overwrite").partitionBy("symbol").parquet(path)
+    by_year = frame.repartition("symbol", F.year("ts"))  # several writers per symbol, few files each
+    by_year.write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -99,9 +99,7 @@ def selections(rankings: DataFrame, runs: DataFrame, widest: int) -> DataFrame:
     """
     side = F.when(F.col("short"), "bottom100").otherwise("top100")
     flow = F.when(F.col("short"), "Short in").otherwise("Long in")
-    pool = rankings.select("data_date", "symbol", "rank", "ranking_type", "long_short", "sector").crossJoin(
-        F.broadcast(runs)  # a handful of configuration rows built on the driver
-    ).filter(
+    pool = rankings.select("data_date", "symbol", "rank", "ranking_type", "long_short", "sector").crossJoin(runs).filter(
         (F.col("ranking_type") == side) & (~F.col("long_only") | (F.col("long_short") == flow))
         & F.col("rank").between(F.col("min_rank"), F.col("max_rank"))
     )

@@ -139,7 +139,7 @@ def _(spark, sf):
 @reg.add("a9_wide_long", f"WITH b AS ({RAW['hour']}) SELECT ts, symbol, close FROM b")
 def _(spark, sf):
     b = tables.event_bars_raw(spark, sf)
-    names = [row[0] for row in b.select("symbol").distinct().orderBy("symbol").limit(1000).collect()]
+    names = [row[0] for row in b.select("symbol").distinct().orderBy("symbol").collect()]
     return io.to_long(io.to_wide(b, names))
 
 

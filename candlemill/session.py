@@ -21,6 +21,8 @@ def local_session(cpus: int = 8, app: str = "candlemill", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # call-site capture on every column costs more than planning a wide query
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)

@@ -12,6 +12,7 @@ from candlemill.session import materialize, table_path
 
 TIME_NAMES = ("timestamp", "time", "date", "datetime")
 LOCAL_ZONE = "America/Los_Angeles"
+WRITERS = 32
 
 
 def by_lower_name(df: DataFrame) -> DataFrame:
@@ -89,6 +90,8 @@ def write_bars(bars: DataFrame, path: str) -> None:
     """Write a bar table laid out for ``upsert``; only partitions present in ``bars`` change."""
     if "year" not in bars.columns:
         bars = bars.withColumn("year", F.year("ts"))
+    # bounds the files per partition while a hot partition still has many writers
+    bars = bars.repartition("timeframe", "year", F.pmod(F.xxhash64("symbol", F.month("ts")), F.lit(WRITERS)))
     (bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("timeframe", "year").parquet(path))
 

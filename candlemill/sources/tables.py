@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions.blocks import with_index
+from candlemill.functions.rank import rank_descending
 from candlemill.schemas import KEYS
 from candlemill.session import materialize
 
@@ -124,7 +125,6 @@ def rankings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg((F.sum(F.round(revenue * 100).cast("bigint")) / 100).alias("revenue"),
              F.count(F.lit(1)).alias("lines"))
     )
-    ranked = Window.partitionBy("month").orderBy(F.col("revenue").desc(), "l_suppkey")
     own = Window.partitionBy("l_suppkey").orderBy("month")
     supplier = (
         read(spark, sf_dir, "supplier")
@@ -132,9 +132,10 @@ def rankings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), "r_name", "n_name")
     )
+    # logarithmic cells hold similar counts over any scale of revenue
+    cell = F.floor(F.log1p("revenue") * 64)
     out = (
-        monthly.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("month")))
+        rank_descending(monthly, ["month"], "revenue", ["l_suppkey"], cell)
         .withColumns({
             "prev_rank": F.lag("rank").over(own), "prev_rev": F.lag("revenue").over(own),
             "prev_lines": F.lag("lines").over(own),

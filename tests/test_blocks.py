@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlemill.functions.asof import as_of_last
 from candlemill.functions.blocks import Stage, blocked, running
 from candlemill.functions.quantile import exact_median
+from candlemill.functions.rank import rank_descending
 from candlemill.functions.search import first_hit, range_extremes
 from candlemill.schemas import KEYS
 
@@ -103,3 +104,13 @@ def test_as_of_last(spark):
     out = as_of_last(ask.withColumn("date", to_date), at.withColumn("date", to_date), ["symbol"], "v", block=4)
     got = {(r["symbol"], str(r["date"])): r["v"] for r in out.collect()}
     assert got == {("A", "2020-01-04"): None, ("A", "2020-01-05"): 1, ("A", "2020-02-01"): 2, ("B", "2020-01-02"): 3}
+
+
+def test_ranks_by_cells_equal_a_sort(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": ["a"] * 500 + ["b"] * 3, "v": np.round(rng.gamma(1, 50, 503)), "id": range(503)})
+    out = rank_descending(spark.createDataFrame(pdf), ["k"], "v", ["id"], F.floor(F.log1p("v") * 4)).toPandas()
+    want = pdf.sort_values(["k", "v", "id"], ascending=[True, False, True])
+    want["rank"] = want.groupby("k").cumcount() + 1
+    merged = out.merge(want, on="id")
+    assert (merged["rank_x"] == merged["rank_y"]).all() and set(out[out.k == "b"]["size"]) == {3}
