@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +26,19 @@ def read_stream(
     return reader.parquet(path)
 
 
+def utc_instant(ts: Column) -> Column:
+    """A zone-less UTC clock time as an instant; watermarks need one. The session zone plays no part."""
+    day = F.unix_date(ts.cast("date")).cast("decimal(20,6)") * 86400
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)
+    return F.timestamp_seconds(day + clock)
+
+
+def utc_clock(at: Column) -> Column:
+    """The inverse of ``utc_instant``, to the second."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return zero + F.make_dt_interval(secs=F.unix_seconds(at).cast("decimal(18,6)"))
+
+
 def merge_bars(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Merge arriving bars into a bar table; a later bar for the same time replaces it.
 
@@ -52,13 +65,12 @@ def build_bars(
     stream: DataFrame, span: str, timeframe: str, table: str, checkpoint: str, late: str = "1 hour"
 ) -> StreamingQuery:
     """Tumbling bars from finer bars, each written once the watermark has passed its end."""
-    at = F.window(F.col("_t"), span)
     bars = (
-        stream.withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", late)
-        .groupBy("symbol", at.alias("w"))
+        stream.withColumn("_t", utc_instant(F.col("ts"))).withWatermark("_t", late)
+        .groupBy("symbol", F.window("_t", span).alias("w"))
         .agg(F.min_by("open", "_t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
              F.max_by("close", "_t").alias("close"), F.sum("volume").alias("volume"))
-        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").cast("timestamp_ntz").alias("ts"),
+        .select("symbol", F.lit(timeframe).alias("timeframe"), utc_clock(F.col("w.start")).alias("ts"),
                 "open", "high", "low", "close", "volume")
     )
     return (bars.writeStream.format("parquet").outputMode("append").option("path", table)
@@ -69,7 +81,7 @@ def load_rankings(stream: DataFrame, table: str, checkpoint: str, late: str = "4
     """Append ranking slices the table lacks; repeats inside and across batches add nothing."""
     key = ["data_date", "ranking_type", "symbol"]
     once = (
-        stream.withColumn("_t", F.col("captured_at").cast("timestamp")).withWatermark("_t", late)
+        stream.withColumn("_t", utc_instant(F.col("captured_at"))).withWatermark("_t", late)
         .dropDuplicatesWithinWatermark(key).drop("_t")
     )
 
