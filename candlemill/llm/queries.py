@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import mixing, secrets
+from candlemill.llm import dac, language, mixing, quality, secrets
 from candlemill.plans.registry import Registry
+from candlemill.session import table_path
 
 reg = Registry()
 
@@ -52,6 +53,42 @@ def op3_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def held_out(doc_id, parts, rest):
+    """Whether crc32 of the id as text leaves ``rest``; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == rest, F.lit(False))
+
+
+@reg.add("op4_quality_nbsvm")
+def op4_quality_nbsvm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = docs.where(~held_out("doc_id", 4, 2))
+    model = quality.learn(seen, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("held_out", held_out("doc_id", 4, 2)), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@reg.add("op6_language_rank_order")
+def op6_language_rank_order(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    seen = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
+    profiles = language.learn_profiles(seen)
+    asked = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text")
+    return language.identify(asked, profiles).drop("text")
+
+
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@reg.add("op10_token_dac")
+def op10_token_dac(spark, sf_dir):
+    path = table_path(spark, "dac")
+    dac.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return dac.read_documents(spark, path)
+
+
 @reg.add("op9_secret_scan")
 def op9_secret_scan(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
