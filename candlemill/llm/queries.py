@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import dac, decontaminate, language, mixing, quality, secrets
+from candlemill.llm import dac, decontaminate, language, mixing, quality, secrets, vectors
 from candlemill.plans.registry import Registry
 from candlemill.session import table_path
 
@@ -114,6 +114,11 @@ def op6_language_rank_order(spark, sf_dir):
     return language.identify(asked, profiles).drop("text")
 
 
+@reg.add("op7_near_vectors")
+def op7_near_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path():
     import public_tokenizers
 
