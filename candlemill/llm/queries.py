@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import dac, decontaminate, language, mixing, quality, secrets, vectors
+from candlemill.llm import dac, decontaminate, jaccard, language, mixing, quality, secrets, vectors
 from candlemill.plans.registry import Registry
 from candlemill.session import table_path
 
@@ -53,6 +53,11 @@ def op1_decontaminate(spark, sf_dir):
     )
 
 
+@reg.add("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(text))) AS k,
