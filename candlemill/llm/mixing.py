@@ -117,7 +117,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     pieces = F.zip_with(
         F.slice(F.split(F.col(text), WORD, -1), F.lit(1), F.col("part").cast("int")),
         F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")),
-        F.concat,
+        lambda gap, word: F.concat(gap, word),
     )
     head = F.array_join(pieces, "")
     return (
