@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import dac, decontaminate, jaccard, language, mixing, quality, secrets, vectors
+from candlemill.llm import dac, decontaminate, jaccard, language, mixing, quality, secrets, substrings, vectors
 from candlemill.plans.registry import Registry
 from candlemill.session import table_path
 
@@ -137,6 +137,18 @@ def op10_token_dac(spark, sf_dir):
     return dac.read_documents(spark, path)
 
 
+@reg.add("op8_substring_repeats")
+def op8_substring_repeats(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("removed")
+    return found.select(
+        "doc_id", "n_bytes",
+        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_removed"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @reg.add("op9_secret_scan")
 def op9_secret_scan(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
