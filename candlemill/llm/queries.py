@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import dac, decontaminate, jaccard, language, mixing, quality, secrets, substrings, vectors
+from candlemill.llm import dac, decontaminate, jaccard, language, mixing, passages, quality, secrets, substrings, vectors
 from candlemill.plans.registry import Registry
 from candlemill.session import table_path
 
@@ -119,6 +119,15 @@ def op6_language_rank_order(spark, sf_dir):
     return language.identify(asked, profiles).drop("text")
 
 
+@reg.add("op5_near_passages")
+def op5_near_passages(spark, sf_dir):
+    found = passages.near_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"),
+        (F.col("stop") - F.col("start")).alias("n_words"),
+    )
+
+
 @reg.add("op7_near_vectors")
 def op7_near_vectors(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
