@@ -87,11 +87,13 @@ def fit_states(x: np.ndarray, n: int = 3, rounds: int = 200, tol: float = 1e-4,
     return path
 
 
-def with_states(obs: DataFrame, keys: Sequence[str] = KEYS, span: int = 5000) -> DataFrame:
-    """Hidden state of each bar. Long series are fitted in stretches of ``span`` bars."""
+def with_states(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Hidden state of each bar, from one model fitted to the whole series.
+
+    A series is one group: a bar has three numbers here, so a million bars are 24 MB.
+    """
     keys = list(keys)
-    group = [*keys, "stretch"]
-    slim = obs.select(*keys, F.floor(F.col("idx") / span).alias("stretch"), "idx", *OBSERVED)
+    slim = obs.select(*keys, "idx", *OBSERVED)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", state int"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,12 +103,12 @@ def with_states(obs: DataFrame, keys: Sequence[str] = KEYS, span: int = 5000) ->
         scaled = (x - x.mean(axis=0)) / np.where(dev > 0, dev, 1.0)
         return pdf.assign(state=fit_states(scaled).astype("int32"))
 
-    return slim.groupBy(*group).applyInPandas(fit, schema)
+    return slim.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def to_regimes(states: DataFrame, bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Name the states by their mean return and ATR ratio; the first bar takes the second's name."""
-    group = [*keys, "stretch"]
+    group = list(keys)
     means = states.groupBy(*group, "state").agg(
         F.avg("log_return").alias("_r"), F.avg("atr_ratio").alias("_a"))
     w = Window.partitionBy(*group)

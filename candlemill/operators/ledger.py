@@ -40,14 +40,17 @@ class Scenario:
     stop_limit: bool = False
 
 
+ALL_BARS = 2**31 - 1
+
+
 def scenario_table(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFrame:
     kinds = {"str": "string", "int": "int", "float": "double", "bool": "boolean"}
     schema = ", ".join(f"{f.name} {kinds[f.type]}" for f in fields(Scenario))
     return spark.createDataFrame([astuple(s) for s in scenarios], schema)
 
 
-def patterns_as_of(bars: DataFrame, cfg: PatternConfig = PatternConfig(), lookback: int = 500) -> DataFrame:
-    """Traded patterns seen at every bar of every symbol, from that bar's past only."""
+def patterns_as_of(bars: DataFrame, cfg: PatternConfig = PatternConfig(), lookback: int = ALL_BARS) -> DataFrame:
+    """Traded patterns seen at every bar of every symbol, from all of that bar's past."""
     every = BacktestConfig(recompute_interval=1, warmup=cfg.min_bars - 1, lookback=lookback)
     keys = ["symbol", "eval_idx"]
     return pt.detect(en.prefixes(bars, every), cfg, TRADED, keys)
@@ -223,7 +226,7 @@ def play(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def run(
     rankings: DataFrame, bars: DataFrame, scenarios: Sequence[Scenario],
-    cfg: PatternConfig = PatternConfig(), lookback: int = 500, found: DataFrame | None = None,
+    cfg: PatternConfig = PatternConfig(), lookback: int = ALL_BARS, found: DataFrame | None = None,
 ) -> DataFrame:
     """Trades (``kind = trade``) and daily equity (``kind = equity``) of every scenario."""
     spark = bars.sparkSession

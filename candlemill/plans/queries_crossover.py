@@ -168,7 +168,7 @@ def _(spark, sf):
 
 
 @reg.add("g34_year_matrix", f"{pre(_FEW)}, {YEARS} SELECT run_id, " + ", ".join(
-    f"""{rnd(f"max(year_return) FILTER (WHERE year = {y})", 5)} AS "{y}" """ for y in range(1996, 2002)) + " FROM yrs GROUP BY run_id")
+    f"""{rnd(f"max(year_return) FILTER (WHERE year = {y})", 5)} AS "{y}" """ for y in range(1995, 2002)) + " FROM yrs GROUP BY run_id")
 def _(spark, sf):
-    out = _ids(xo.year_matrix(xo.yearly(sim(spark, sf, FEW)), 1996, 2001))
-    return pick(out, "run_id", **{str(y): 5 for y in range(1996, 2002)})
+    out = _ids(xo.year_matrix(xo.yearly(sim(spark, sf, FEW)), 1995, 2001))
+    return pick(out, "run_id", **{str(y): 5 for y in range(1995, 2002)})

@@ -149,8 +149,9 @@ def _(spark, sf):
 
 @reg.add("h9_evaluate")
 def _(spark, sf):
-    pred = model(spark, sf).transform(holdout(spark, sf))
-    return pick(ln.class_report(ln.counts(pred, "label_5d")), "class support", precision=6, recall=6, f1=6)
+    path = table_path(spark, "model")
+    ln.save_model(model(spark, sf), path, fe.FEATURES, CFG)
+    return pick(ln.evaluate_saved(path, holdout(spark, sf)), "class support", precision=6, recall=6, f1=6)
 
 
 @reg.add("h9_class_report", f"""WITH {bars()}, {LABELS}, q AS (SELECT label_5d AS y, CAST(b.close > b.open AS INT) AS p FROM lrow JOIN bars b USING (symbol, idx)),

@@ -160,7 +160,7 @@ def _compared(spark, sf, runs):
 
 
 reg.add("g21_rank_sweep", f"{pre(rb.sweep_runs())}, {METRICS}, {CURVE} {_ALL}")(lambda spark, sf: _compared(spark, sf, rb.sweep_runs()))
-_VAR = tuple(v for v in rb.VARIATIONS if not v.short)
+_VAR = rb.VARIATIONS
 reg.add("g22_variations", f"{pre(_VAR)}, {METRICS}, {CURVE} {_ALL}")(lambda spark, sf: _compared(spark, sf, _VAR))
 
 

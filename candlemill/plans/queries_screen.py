@@ -20,7 +20,7 @@ from candlemill.sources import tables
 
 reg = Registry()
 
-LATEST = "latest AS MATERIALIZED (SELECT * FROM rankings WHERE captured_at = (SELECT max(captured_at) FROM rankings WHERE captured_at <= TIMESTAMP '2001-06-01'))"
+LATEST = "latest AS MATERIALIZED (SELECT * FROM rankings WHERE captured_at = (SELECT max(captured_at) FROM rankings))"
 
 
 def rankings(spark, sf):
@@ -28,9 +28,8 @@ def rankings(spark, sf):
 
 
 def latest(spark, sf):
-    """Newest snapshot as of the last month that is complete in the data."""
-    known = rankings(spark, sf).filter(F.col("captured_at") <= F.lit("2001-06-01").cast("timestamp_ntz"))
-    return sc.latest(known)
+    """The newest snapshot."""
+    return sc.latest(rankings(spark, sf))
 
 
 def flows(spark, sf):

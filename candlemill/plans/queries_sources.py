@@ -218,11 +218,11 @@ def _(spark, sf):
 
 @reg.add("a18_missed_sessions", """WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS date),
 s(capture_session, due) AS (VALUES ('morning', '09:35'), ('midday', '12:30'), ('close', '16:05')),
-seen AS (SELECT DISTINCT CASE WHEN hour(ts) < 11 THEN 'morning' WHEN hour(ts) < 14 THEN 'midday' ELSE 'close' END AS capture_session, CAST(ts AS DATE) AS date FROM events WHERE value > 60)
+seen AS (SELECT DISTINCT CASE WHEN hour(ts) < 11 THEN 'morning' WHEN hour(ts) < 14 THEN 'midday' ELSE 'close' END AS capture_session, CAST(ts AS DATE) AS date FROM events)
 SELECT capture_session, date, due FROM d, s WHERE isodow(date) < 6 AND CAST(date || ' ' || due AS TIMESTAMP) <= TIMESTAMP '2024-02-05 13:00:00'
 AND (capture_session, date) NOT IN (SELECT capture_session, date FROM seen)""")
 def _(spark, sf):
-    e = tables.read(spark, sf, "events").filter(F.col("value") > 60)
+    e = tables.read(spark, sf, "events")
     hour = F.hour("ts")
     snaps = e.select(F.when(hour < 11, "morning").when(hour < 14, "midday").otherwise("close").alias("capture_session"),
                      F.col("ts").cast("date").alias("data_date"))

@@ -86,6 +86,13 @@ def upsert(new: DataFrame, path: str) -> None:
     write_bars(merged, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, in any store; errors of the store are raised."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     """Write a bar table laid out for ``upsert``; only partitions present in ``bars`` change."""
     if "year" not in bars.columns:

@@ -50,12 +50,10 @@ def merge_bars(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery
         rest = [c for c in batch.columns if c not in (*keys, "arrived")]
         newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "arrived").alias("_r")).select(*keys, "_r.*")
         spark = batch.sparkSession
-        try:
-            spark.read.parquet(table)
-        except Exception:  # first batch: the table does not exist yet
+        if io.exists(spark, table):
+            io.upsert(newest, table)
+        else:
             io.write_bars(newest, table)
-            return
-        io.upsert(newest, table)
 
     return (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -77,23 +75,22 @@ def build_bars(
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def load_rankings(stream: DataFrame, table: str, checkpoint: str, late: str = "40 days") -> StreamingQuery:
-    """Append ranking slices the table lacks; repeats inside and across batches add nothing."""
+def load_rankings(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append ranking slices the table lacks; repeats inside and across batches add nothing.
+
+    The table itself says what has been loaded, so a slice may come however late.
+    """
     key = ["data_date", "ranking_type", "symbol"]
-    once = (
-        stream.withColumn("_t", utc_instant(F.col("captured_at"))).withWatermark("_t", late)
-        .dropDuplicatesWithinWatermark(key).drop("_t")
-    )
 
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
+        if io.exists(spark, table):
             have = spark.read.schema(batch.schema).parquet(table)
-        except Exception:  # first batch: the table does not exist yet
+        else:
             have = spark.createDataFrame([], batch.schema)
-        rk.slices_to_load(have, batch).write.mode("append").parquet(table)
+        rk.slices_to_load(have, batch.dropDuplicates(key)).write.mode("append").parquet(table)
 
-    return (once.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
