@@ -76,19 +76,18 @@ def build_bars(
 
 
 def load_rankings(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append ranking slices the table lacks; repeats inside and across batches add nothing.
+    """Append ranking rows the table lacks; repeats inside and across batches add nothing.
 
-    The table itself says what has been loaded, so a slice may come however late.
+    The table itself says what has been loaded, so a slice may come however late and in parts.
     """
     key = ["data_date", "ranking_type", "symbol"]
 
     def load(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        new = batch.dropDuplicates(key)
         if io.exists(spark, table):
-            have = spark.read.schema(batch.schema).parquet(table)
-        else:
-            have = spark.createDataFrame([], batch.schema)
-        rk.slices_to_load(have, batch.dropDuplicates(key)).write.mode("append").parquet(table)
+            new = new.join(spark.read.schema(batch.schema).parquet(table).select(*key), key, "left_anti")
+        new.select(*batch.columns).write.mode("append").parquet(table)
 
     return (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

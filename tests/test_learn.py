@@ -94,3 +94,38 @@ def test_regime_summary_counts_runs(spark):
     df = spark.createDataFrame([("S", "1d", i, r) for i, r in enumerate(seq)], "symbol string, timeframe string, idx bigint, regime string")
     out = hd.regime_summary(df, block=3).toPandas().set_index("regime")
     assert out.loc["a", "bars"] == 3 and out.loc["a", "runs"] == 2 and out.loc["c", "avg_duration"] == 3
+
+
+def test_one_model_for_a_series_of_6000_bars(spark):
+    rng = np.random.default_rng(2)
+    n = 6000
+    level = np.where((np.arange(n) // 1500) % 2 == 0, 2.0, -2.0)
+    pdf = pd.DataFrame({"symbol": "S", "timeframe": "1d", "idx": np.arange(1, n + 1)})
+    for k, name in enumerate(hd.OBSERVED):
+        pdf[name] = rng.normal(0, 0.3, n) + (level if k == 0 else 0)
+    out = rows(hd.with_states(spark.createDataFrame(pdf).repartition(5)), "idx")
+    up, down = (np.bincount(out["state"][level == v]).argmax() for v in (2.0, -2.0))
+    assert up != down  # the same state means the same before and after bar 5,000
+    for part in (slice(0, 5000), slice(5000, n)):
+        want = np.where(level[part] > 0, up, down)
+        assert (out["state"].to_numpy()[part] == want).mean() > 0.8
+
+
+@pytest.mark.parametrize("n", [3, 5, 17, 39, 60])
+def test_feature_counts_are_even_and_reach_both_ends(n):
+    sizes = ln.feature_counts(n)
+    assert sizes[0] == min(5, n) and sizes[-1] == min(40, n) and sizes == sorted(set(sizes))
+    gaps = np.diff(sizes)
+    assert not len(gaps) or gaps.max() - gaps.min() <= 1
+
+
+def test_saved_model_scores_alike(spark, frame, tmp_path):
+    names = ["sig_a", "sig_b", "noise_a"]
+    model = ln.classifier(names, CFG).fit(frame)
+    ln.save_model(model, str(tmp_path / "m"), names, CFG)
+    again, about = ln.load_model(spark, str(tmp_path / "m"))
+    assert about["features"] == names and about["config"]["label"] == "label_5d"
+    a, b = (rows(ln.model_score(m, frame, names).select("row", "score"), "row") for m in (model, again))
+    assert a.equals(b)
+    report = ln.evaluate_saved(str(tmp_path / "m"), frame.drop("noise_a")).collect()
+    assert sum(r["support"] for r in report) == 600

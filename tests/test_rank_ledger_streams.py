@@ -250,3 +250,36 @@ def test_checks_carry_state_between_batches(spark, tmp_path):
         flows.write_alerts(flows.check_readings(stream, flows.ThresholdCheck()), out, str(tmp_path / "chk")).awaitTermination()
     got = spark.read.parquet(out).collect()
     assert [(r["severity"], r["value"]) for r in got] == [("critical", 5.0)]
+
+
+def _load(spark, tmp_path, day, names):
+    row = [((pd.Timestamp("2024-01-01") + pd.Timedelta(days=day)).to_pydatetime(), f"day {day}", "top", n, k) for k, n in enumerate(names)]
+    df = spark.createDataFrame(row, "captured_at timestamp, data_date string, ranking_type string, symbol string, rank int")
+    df = df.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+    landing, table = str(tmp_path / "in"), str(tmp_path / "table")
+    df.write.mode("append").parquet(landing)
+    flows.load_rankings(flows.read_stream(spark, landing, df.schema), table, str(tmp_path / "chk")).awaitTermination()
+    return sorted((r.data_date, r.symbol) for r in spark.read.parquet(table).collect())
+
+
+def test_rankings_may_come_months_late_and_in_parts(spark, tmp_path):
+    assert len(_load(spark, tmp_path, 200, "AB")) == 2
+    assert len(_load(spark, tmp_path, 10, "AB")) == 4  # 190 days behind
+    assert len(_load(spark, tmp_path, 10, "AC")) == 5  # one again, one new
+    assert len(_load(spark, tmp_path, 200, "AB")) == 5
+
+
+def test_a_table_that_cannot_be_read_is_left_alone(spark, tmp_path):
+    table, landing = tmp_path / "table", str(tmp_path / "in")
+    table.mkdir()
+    (table / "part-0.parquet").write_bytes(b"not parquet")
+    df = spark.createDataFrame(
+        [("A", "1d", pd.Timestamp("2024-01-01").to_pydatetime(), 1.0, 1.0, 1.0, 1.0, 1.0, 0)],
+        "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double, arrived int",
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.write.parquet(landing)
+    query = flows.merge_bars(flows.read_stream(spark, landing, df.schema), str(table), str(tmp_path / "chk"))
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    assert [f.name for f in table.iterdir() if not f.name.startswith(".")] == ["part-0.parquet"]
+    assert (table / "part-0.parquet").read_bytes() == b"not parquet"
