@@ -225,8 +225,8 @@ def find_contamination(
     """``docs`` with the words that test items share with them.
 
     ``spans`` are maximal runs of hit words, ``n_hit`` their words, ``items`` the items with
-    occurring windows, ``longest_match`` the longest run shared with an item, ``contaminated``
-    whether hits reach one word in ``coverage``. Documents stream past one automaton per block of
+    occurring windows, ``longest_match`` the longest run shared with an item (or a piece of one
+    longer than ``PIECE_WORDS``), ``contaminated`` whether hits reach one word in ``coverage``. Documents stream past one automaton per block of
     items; no shuffle. With several blocks the blocks' spans are united.
 
     Null and empty texts have no words and are clean; null and empty items have no windows. An item

@@ -26,8 +26,9 @@ def _letters() -> np.ndarray:
 def _codes(text: str) -> np.ndarray:
     """Code points in lower case with every run of other characters than letters as one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(_letters()[points], points, 32)
-    points = np.concatenate([[32], points, [32]]).astype(np.int64)
+    points = np.where(_letters()[points], points, np.uint32(32))
+    edge = np.full(1, 32, np.uint32)
+    points = np.concatenate([edge, points, edge])
     blank = points == 32
     return points[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
 
@@ -42,18 +43,19 @@ def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of letters and word ends, as numbers, with their counts."""
     codes, counts = [], []
-    if text and _LETTER.search(text):
-        for k in range(0, len(text), _PIECE):
-            points = _codes(text[k : k + _PIECE])
-            grams = [points[points != 32]]
-            for n in GRAMS[1:]:
-                code = points[: len(points) - n + 1]
-                for j in range(1, n):
-                    code = (code << _BITS) | points[j : len(points) - n + 1 + j]
-                grams.append(code)
-            found, number = np.unique(np.concatenate(grams), return_counts=True)
-            codes.append(found)
-            counts.append(number)
+    whole = _codes(text) if text and _LETTER.search(text) else np.zeros(0, np.uint32)
+    for k in range(0, len(whole), _PIECE):
+        points = whole[k : k + _PIECE + GRAMS[-1] - 1].astype(np.int64)
+        grams = []
+        for n in GRAMS:
+            size = min(_PIECE, len(points) - n + 1)  # those that begin in this piece
+            code = points[:size]
+            for j in range(1, n):
+                code = (code << _BITS) | points[j : size + j]
+            grams.append(code if n > 1 else code[code != 32])
+        found, number = np.unique(np.concatenate(grams), return_counts=True)
+        codes.append(found)
+        counts.append(number)
     if not codes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return _merge(codes, counts)

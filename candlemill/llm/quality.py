@@ -138,6 +138,11 @@ def labelled_sample(
     )
 
 
+def _packed(fitted) -> tuple[bytes, bytes, float, float]:
+    scale, w, slope, offset = fitted
+    return scale.tobytes(), w.tobytes(), slope, offset
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id",
     fit: int = FIT_ROWS,
@@ -151,14 +156,17 @@ def learn(
             for order, whole, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 held.append((order, indicators(whole, seen).astype(np.int32), y))
         held.sort(key=lambda h: h[0])
-        scale, w, slope, offset = fit_rows([h[1] for h in held], np.array([h[2] for h in held]))
+        packed = _packed(fit_rows([h[1] for h in held], np.array([h[2] for h in held])))
+        kinds = [pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([scale.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([slope]), pa.array([offset])],
-            ["scale", "weight", "slope", "offset"],
+            [pa.array([v], k) for v, k in zip(packed, kinds, strict=True)], ["scale", "weight", "slope", "offset"]
         )
 
     sample = labelled_sample(docs, labels, label, text, doc_id, fit)
-    return sample.select("_order", "text", "label").coalesce(1).mapInArrow(run, MODEL).first()
+    found = sample.select("_order", "text", "label").coalesce(1).mapInArrow(run, MODEL).first()
+    if found is None:  # no labelled row
+        return dict(zip(("scale", "weight", "slope", "offset"), _packed(fit_rows([], np.zeros(0))), strict=True))
+    return found
 
 
 def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:
