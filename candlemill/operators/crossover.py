@@ -113,6 +113,19 @@ def run_table(spark: SparkSession, grid: Grid = Grid(), periods: Sequence[int] =
     }).drop("f")
 
 
+RUIN = -1e6  # the logarithm of nothing, for sums; its exponential is 0
+
+
+def growth(ret: Column) -> Column:
+    """Log growth of a return; a loss of everything or more leaves nothing, now and later."""
+    return F.when(ret > -1, F.log(1 + ret)).when(ret.isNotNull(), F.lit(RUIN))
+
+
+def drop_from(level: str) -> Column:
+    """Equity against ``level``, as a return; nothing from nothing is a loss of everything."""
+    return F.when(F.col(level) > 0, F.try_divide("equity", level) - 1).when(F.col(level) <= 0, F.lit(-1.0))
+
+
 def simulate(
     averaged: DataFrame, runs: DataFrame, keys: Sequence[str] = ("symbol",), rolling: int = YEAR,
 ) -> DataFrame:
@@ -142,7 +155,7 @@ def simulate(
     cash = F.pow(1 + F.col("cash_yield"), F.lit(1.0 / YEAR)) - 1
     rows = rows.withColumn("ret", F.when(F.col("held") == 1, F.col("asset_return")).otherwise(cash))
     rows = rows.withColumns({
-        "equity": CAPITAL * F.exp(F.sum(F.log(1 + F.col("ret"))).over(upto)),
+        "equity": CAPITAL * F.exp(F.sum(growth(F.col("ret"))).over(upto)),
         "_was": F.coalesce(F.lag("held").over(w), F.lit(0)),
         "_s1": F.sum("ret").over(upto), "_s2": F.sum(F.col("ret") * F.col("ret")).over(upto),
         "_k": F.row_number().over(w),
@@ -159,8 +172,8 @@ def simulate(
     var = ((F.col("_s2") - F.col("_b2")) - rolling * mean * mean) / (rolling - 1)
     return rows.select(
         *keys, "run_id", "idx", "ts", "ret", "held", "equity", "opened", "closed",
-        (F.col("equity") / F.col("peak") - 1).alias("dd"),
-        F.when(F.col("closed") == 1, F.col("equity") / F.col("_at_open") - 1).alias("trade_return"),
+        drop_from("peak").alias("dd"),
+        F.when(F.col("closed") == 1, drop_from("_at_open")).alias("trade_return"),
         F.when((F.col("_k") >= rolling) & (var > 1e-18), mean / F.sqrt(var) * F.sqrt(F.lit(float(YEAR)))).alias("rolling_sharpe"),
     )
 
@@ -168,12 +181,12 @@ def simulate(
 def hold_asset(averaged: DataFrame, keys: Sequence[str] = ("symbol",), block: int | None = None) -> DataFrame:
     """The buy-and-hold run in the shape ``simulate`` returns."""
     out = running(averaged.withColumn("ret", F.col("asset_return")), keys,
-                  {"_log": ("sum", F.log(1 + F.col("asset_return")))}, block=block)
+                  {"_log": ("sum", growth(F.col("asset_return")))}, block=block)
     out = out.withColumn("equity", CAPITAL * F.exp("_log"))
     out = running(out, keys, {"_peak": ("max", F.col("equity"))}, block=block)
     return out.select(
         *keys, F.lit(0).alias("run_id"), "idx", "ts", "ret", F.lit(1).alias("held"), "equity",
-        F.lit(0).alias("opened"), F.lit(0).alias("closed"), (F.col("equity") / F.col("_peak") - 1).alias("dd"),
+        F.lit(0).alias("opened"), F.lit(0).alias("closed"), drop_from("_peak").alias("dd"),
         F.lit(None).cast("double").alias("trade_return"), F.lit(None).cast("double").alias("rolling_sharpe"))
 
 
@@ -187,7 +200,7 @@ def metrics(sim: DataFrame, keys: Sequence[str] = ("symbol",), sample: bool = Tr
     r, neg = F.col("ret"), F.when(F.col("ret") < 0, F.col("ret"))
     month = F.date_trunc("month", "ts").alias("_month")
     monthly = sim.groupBy(*run, month).agg(
-        F.sum(F.log(1 + r)).alias("_log"), F.count(r).alias("_n"), F.sum(r).alias("_r"), F.sum(r * r).alias("_r2"),
+        F.sum(growth(r)).alias("_log"), F.count(r).alias("_n"), F.sum(r).alias("_r"), F.sum(r * r).alias("_r2"),
         F.count(neg).alias("_nn"), F.sum(neg).alias("_nr"), F.sum(neg * neg).alias("_nr2"),
         F.min("dd").alias("_dd"), F.sum(F.pow(F.col("dd") * 100, F.lit(2))).alias("_dd2"),
         F.sum("held").alias("_held"), F.sum("opened").alias("_open"),
@@ -249,8 +262,8 @@ def yearly(sim: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     w = Window.partitionBy(*run).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     df = sim.withColumn("year", F.year("ts")).withColumn("_peak", F.max("equity").over(w))
     out = df.groupBy(*run).agg(
-        (F.exp(F.sum(F.log(1 + F.col("ret")))) - 1).alias("year_return"),
-        F.min(F.col("equity") / F.col("_peak") - 1).alias("year_dd"),
+        (F.exp(F.sum(growth(F.col("ret")))) - 1).alias("year_return"),
+        F.min(drop_from("_peak")).alias("year_dd"),
     )
     other = F.when(F.col("year_return") > 0, 10.0).otherwise(0.0)
     return out.withColumn("year_calmar", F.coalesce(

@@ -108,3 +108,14 @@ def test_rank_score_is_zero_for_losing_runs(spark, market):
     counts = xo.consistency(years, best=2, worst=1).toPandas()
     n_years = years.select("year").distinct().count()
     assert counts["years_top"].sum() == 2 * n_years and counts["years_bottom"].sum() == n_years
+
+
+def test_a_total_loss_leaves_nothing(spark):
+    rows_ = [(k, r) for k, r in enumerate([None, 0.1, -1.0, 0.5, -1.2, 0.1])]
+    df = spark.createDataFrame(rows_, "idx int, ret double")
+    got = df.agg((F.exp(F.sum(xo.growth(F.col("ret")))) - 1).alias("x")).first()["x"]
+    assert got == -1.0
+    some = df.where("idx < 2").agg(F.exp(F.sum(xo.growth(F.col("ret")))).alias("x")).first()["x"]
+    assert abs(some - 1.1) < 1e-12
+    dd = spark.createDataFrame([(5.0, 10.0), (0.0, 0.0), (None, 1.0)], "equity double, peak double")
+    assert [r[0] for r in dd.select(xo.drop_from("peak")).collect()] == [-0.5, -1.0, None]
