@@ -91,14 +91,16 @@ def prepared(docs: DataFrame, text: str, doc_id: str, similarity: float, n: int)
     )
 
 
-def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """``bucket, node, tile``: nodes to be compared, in buckets of at most about ``limit`` rows.
+def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets ``bucket, node, tile`` of nodes to be compared, and links ``a, b`` found on the way.
 
     Every split sends the nodes of a bucket that is too large on to the buckets of the tokens that
-    they choose next. Runs are added until the recall holds at the depth that was needed. What is
-    still too large after the last split is compared in tiles, all of them, so nothing is dropped.
+    they choose next. A bucket full of near copies would not shrink: its nodes are held against its
+    least node first, and if few are unlike it, these alone are compared with all. Runs are added
+    until the recall holds at the depth that was needed. What is still too large after the last
+    split is compared in tiles, all of them, so nothing is dropped.
     """
-    done = None
+    done = links = None
     runs, first, needed = range(runs_for(1)), True, 1
     while True:
         level = None
@@ -119,6 +121,19 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
             small = sized.where(F.col("n") <= limit).select("bucket", "node", F.lit(0).alias("tile"))
             done = small if done is None else done.unionByName(small)
             level = sized.where(F.col("n") > limit)
+            if level.isEmpty():
+                break
+            probed = materialize(_against_least(level, nodes), "probed")
+            near = probed.where("near").select(F.col("node").alias("a"), F.col("least").alias("b"))
+            links = near if links is None else links.unionByName(near)
+            rest = probed.where("not near").groupBy("bucket").agg(F.count("*").alias("unlike"))
+            few = probed.join(rest.where(F.col("unlike") <= 2 * limit), "bucket")
+            tiles = F.ceil(F.col("n") / limit).cast("int")
+            own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+            done = done.unionByName(few.withColumn(
+                "tile", F.explode(F.when(F.col("near"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles - 1)))
+            ).select("bucket", "node", "tile"))
+            level = probed.join(rest.where(F.col("unlike") > 2 * limit).select("bucket"), "bucket", "left_semi")
             if level.isEmpty():
                 break
             needed = max(needed, k + 2)
@@ -130,10 +145,31 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
                 "bucket", "node", (F.least("_own", "_with") * tiles + F.greatest("_own", "_with") + 1).alias("tile")
             ))
         if not first or runs_for(min(needed, depth)) <= len(runs):
-            return done
+            return done, links
         first, runs = False, range(len(runs), runs_for(min(needed, depth)))
 
 
+def _against_least(level: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of large buckets with their bucket's ``least`` node and whether they are ``near`` it."""
+    held = level.select("bucket", "node", "run", "n").join(nodes.select("node", "sketch"), "node")
+    least = level.groupBy("bucket").agg(F.min("node").alias("least"))
+    sketches = least.join(nodes.select(F.col("node").alias("least"), F.col("sketch").alias("_other")), "least")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (5, 6)
+            )
+            near = (a == b).sum(1) >= NEAR * SKETCH
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(near)], ["bucket", "node", "run", "n", "least", "near"]
+            )
+
+    return held.join(sketches, "bucket").select("bucket", "node", "run", "n", "least", "sketch", "_other").mapInArrow(
+        run, "bucket long, node binary, run int, n long, least binary, near boolean"
+    )
+
+
 def alike(sketches: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of rows may be similar, from sizes and sketches."""
     n = len(sketches)
@@ -224,7 +260,9 @@ def jaccard_join(
         ),
         "nodes",
     )
-    clusters = materialize(components(candidates(nodes, split_buckets(nodes), similarity)), "clusters")
+    buckets, links = split_buckets(nodes)
+    found = candidates(nodes, buckets, similarity)
+    clusters = materialize(components(found if links is None else found.unionByName(links)), "clusters")
 
     def sets(batches):
         for batch in batches:
