@@ -12,12 +12,15 @@ any store that Spark reaches.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 CHUNK = 8
 STRIDE = 512
 SEGMENT = 1 << 16  # ids after which a segment is closed; a document is never divided
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 150_000  # words whose ids a worker process remembers, twice
+TOGETHER = 1 << 21  # bytes of texts that are encoded at once, or one longer text
 END = 2
-# Ends a word of ASCII letters before stops that end at white space: always a border of words too.
-_STOPS = re.compile(r"([A-Za-z])([.,]+)(?=[ \n]|$)")
-_BLANK = re.compile(r"[ \n]+")
+_LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")  # lower-case letters that are one character in every form
+_LATIN = re.compile("[\0-\u012f\u0131-\u024f]*")  # lower case has one character for one
 FILE = (
     "part int, segment int, first long, n_ids long, "
     "chunks array<binary>, more array<binary>, ranks array<binary>, doc_ids array<long>, doc_starts array<long>"
@@ -86,7 +90,8 @@ class Words:
     """Whole texts to ids through the tokenizers library, remembering the ids of words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words in order. ``CACHE`` bounds what is remembered.
+    words in order; and stops behind a letter are tokens of their own. Words are remembered in two
+    generations of ``cache`` at most, and those that come again move to the younger one.
     """
 
     def __init__(self, tokenizer_path: str, cache: int = CACHE) -> None:
@@ -94,29 +99,103 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.cache = cache
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytes = {c: split(chr(c))[0][0] for c in range(0xC0, 0x250) if _PLAIN.fullmatch(chr(c))}
+
+    def _learn(self, words: list[str]) -> None:
+        """Put ``words`` into the young generation."""
+        young, old = self.young, self.old
+        new: set[str] = set()
+        stopped: list[tuple[str, str, str]] = []
+        for word in words:
+            code = old.get(word)
+            if code is not None:
+                young[word] = code
+            elif word[-1] in ".,":
+                core = word.rstrip(".,")
+                if _LETTER.match(core[-1:]):
+                    tail = word[len(core) :]
+                    stopped.append((word, core, tail))
+                    new.add(core)
+                    new.add(tail)
+                else:
+                    new.add(word)
+            else:
+                new.add(word)
+        fresh = []
+        for part in new:
+            if part not in young:
+                code = old.get(part)
+                if code is None:
+                    fresh.append(part)
+                else:
+                    young[part] = code
+        self._encode(fresh)
+        for word, core, tail in stopped:
+            young[word] = young[core] + young[tail]
+
+    def _encode(self, fresh: list[str]) -> None:
+        """Lower-case words of letters go to the tokenizer's model, all others through all its steps.
+
+        To such a word the steps before the model do nothing but write its bytes as characters, for
+        which ``self.bytes`` has the tokenizer's own answers.
+        """
+        young, tokenize, table, plain = self.young, self.tokenizer.model.tokenize, self.bytes, _PLAIN.fullmatch
+        rest = []
+        for word in fresh:
+            if plain(word):
+                ids = [t.id for t in tokenize(word if word.isascii() else word.translate(table))]
+                young[word] = pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(word)
+        for k in range(0, len(rest), 5_000):
+            some = rest[k : k + 5_000]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                young[word] = pack(f"<{len(code.ids)}I", *code.ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        new: dict[str, None] = {}
-        known = self.known
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Words are looked up once for all texts; the rest is array work.
+        """
+        plain = []
         for text in texts:
             text = text or ""
-            if text.isascii() and "<|" not in text:  # else a special token could arise
+            if "<|" not in text and _LATIN.fullmatch(text):  # lowering must not make a special token
                 text = text.lower()
-            found = _BLANK.split(_STOPS.sub(r"\1 \2", text))
-            split.append(found)
-            new.update(dict.fromkeys(w for w in found if w not in known))
-        if len(known) + len(new) > self.cache:
-            known = self.known = {"": b""}
-            new = dict.fromkeys(w for found in split for w in found if w)
-        fresh = list(new)
-        for k in range(0, len(fresh), 20_000):
-            some = fresh[k : k + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in found]) for found in split]
+            plain.append(text.replace("\n", " "))
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        found = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        place, names = found.indices.to_numpy(), found.dictionary.to_pylist()
+        if len(self.young) > self.cache:
+            self.old, self.young = self.young, {}
+        self.young[""] = b""
+        known = self.young
+        self._learn([n for n in names if n not in known])
+        codes = [known[n] for n in names]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(starts[place] - ends[:-1], length) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(codes), "<u4")[at]
+        cuts = ends[bounds - bounds[0]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+_SHARED: dict[str, Words] = {}
+
+
+def shared_words(tokenizer_path: str) -> Words:
+    """The worker process's own ``Words``: loaded once, and warm for its later tasks."""
+    if tokenizer_path not in _SHARED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        _SHARED.clear()
+        _SHARED[tokenizer_path] = Words(tokenizer_path)
+    return _SHARED[tokenizer_path]
 
 
 def write_ids(
@@ -132,7 +211,7 @@ def write_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = Words(tokenizer_path)
+        words = shared_words(tokenizer_path)
         part, number, first = TaskContext.get().partitionId(), 0, 0
         names, starts, held, size = [], [], [], 0
 
@@ -147,8 +226,10 @@ def write_ids(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 500):
-                for name, code in zip(ids[k : k + 500], words.ids(texts[k : k + 500].to_pylist()), strict=True):
+            size_of = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+            edges = [0, *(np.flatnonzero(np.diff(size_of // TOGETHER)) + 1).tolist(), len(ids)]
+            for k, stop in zip(edges, edges[1:], strict=False):
+                for name, code in zip(ids[k:stop], words.ids(texts[k:stop].to_pylist()), strict=True):
                     names.append(name)
                     starts.append(size)
                     held += (code, end)
