@@ -97,7 +97,7 @@ def _(spark, sf):
 
 
 _TARGET = "target AS MATERIALIZED (SELECT * FROM bars WHERE ts < TIMESTAMP '1998-01-01' AND symbol < 'S5')"
-_CUT = F.lit("1998-01-01").cast("timestamp_ntz")
+_CUT = "1998-01-01"
 
 
 def month(spark, sf):
@@ -105,7 +105,7 @@ def month(spark, sf):
 
 
 def _target(spark, sf):
-    return month(spark, sf).filter((F.col("ts") < _CUT) & (F.col("symbol") < "S5"))
+    return month(spark, sf).filter((F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")) & (F.col("symbol") < "S5"))
 
 
 @reg.add("a5_insert_if_absent", f"WITH {bars('month')}, {_TARGET} SELECT {OHLC} FROM bars b WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.symbol = b.symbol AND t.ts = b.ts)")

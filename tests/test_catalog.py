@@ -1,6 +1,8 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,3 +43,9 @@ def test_query_equals_sql(spark, con, name):
     want = canon(con.execute(entry.oracle_sql()[name]).fetchdf())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
