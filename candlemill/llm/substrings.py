@@ -262,11 +262,10 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, hot
             )
 
     shape = "key binary, spans array<struct<x:int,y:int>>"
-    spans = (
-        different.join(sizes, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "key")
-        .mapInArrow(order, shape)
-    )
-    if not sizes.isEmpty():
+    any_hot = not sizes.isEmpty()
+    cool = different.join(sizes, "gram", "left_anti") if any_hot else different
+    spans = cool.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(order, shape)
+    if any_hot:
         spans = spans.unionByName(_hot_spans(different.join(sizes.select("gram"), "gram"), least))
     return (
         held.select("node", "key", F.explode("places").alias("p")).join(spans, "key")
