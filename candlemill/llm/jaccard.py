@@ -174,10 +174,11 @@ def alike(sketches: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndar
     """Which pairs of rows may be similar, from sizes and sketches."""
     n = len(sketches)
     out = np.zeros((n, n), bool)
-    for k in range(0, n, 32):
-        out[k : k + 32] = (sketches[k : k + 32, None, :] == sketches[None, :, :]).sum(2) >= NEAR * SKETCH
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    return out & (small >= similarity * large)
+    for k in range(0, n, 32):  # a few rows at once: their comparison takes most of the memory
+        some, own = sketches[k : k + 32], sizes[k : k + 32, None]
+        near = (some[:, None, :] == sketches[None, :, :]).sum(2, dtype=np.int16) >= NEAR * SKETCH
+        out[k : k + 32] = near & (np.minimum(own, sizes) >= similarity * np.maximum(own, sizes))
+    return out
 
 
 def candidates(nodes: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:

@@ -16,12 +16,15 @@ BLOCK = 512  # nodes of a cluster in a block
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` rows the least row reachable by links; ``linked[i, j]`` joins ``left[i]`` and ``right[j]``."""
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
         before = label.copy()
-        across = np.where(linked, label[right][None, :], n).min(1, initial=n)
-        label[left] = np.minimum(label[left], across)
-        back = np.where(linked, label[left][:, None], n).min(0, initial=n)
+        back = np.full(len(right), n, np.int32)
+        for k in range(0, len(left), 128):  # a few rows at once, for memory
+            some, own = linked[k : k + 128], left[k : k + 128]
+            across = np.where(some, label[right], np.int32(n)).min(1, initial=n)
+            label[own] = np.minimum(label[own], across)
+            back = np.minimum(back, np.where(some, label[own][:, None], np.int32(n)).min(0, initial=n))
         label[right] = np.minimum(label[right], back)
         label = label[label]
         if (label == before).all():
