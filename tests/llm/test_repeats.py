@@ -128,3 +128,17 @@ def test_passages(spark):
         want = {1: (100, 160), 2: (0, 60), 3: (30, 90), 4: (80, 200), 5: (9, 129), 6: (0, 70), 7: (0, 70)}
         want |= {100 + k: (20, 80) for k in range(30)}
         assert got == {k: [v] for k, v in want.items()}
+
+
+def test_passages_at_the_least_similarity_are_found(spark):
+    rng = random.Random(8)
+    fresh = lambda n: prose(rng, n, 10**7)
+    rows = []
+    for k in range(120):  # 41 of 51 n-grams in common: 0.804
+        words_ = fresh(50).split()
+        changed = words_[:25] + ["other%d" % k] + words_[26:]
+        rows += [(2 * k, f"{fresh(20)} {' '.join(words_)} {fresh(20)}"), (2 * k + 1, f"{fresh(20)} {' '.join(changed)} {fresh(20)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.start, r.stop) for r in passages.near_passages(df).collect())
+    assert got == [(k, 20, 70) for k in range(240)]
+    assert 0.2 ** passages.functions_for() <= 1 - passages.RECALL
