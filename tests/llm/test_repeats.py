@@ -142,3 +142,34 @@ def test_passages_at_the_least_similarity_are_found(spark):
     got = sorted((r.doc_id, r.start, r.stop) for r in passages.near_passages(df).collect())
     assert got == [(k, 20, 70) for k in range(240)]
     assert 0.2 ** passages.functions_for() <= 1 - passages.RECALL
+
+
+def test_passages_that_repeat_inside_are_found(spark):
+    rng = random.Random(9)
+    fresh = lambda n: prose(rng, n, 10**7)
+    line = fresh(25).split()
+    changed = line + line[:15] + ["other"] + line[16:]  # 25 of 30 distinct n-grams in common
+    a, b = (shingle_hashes(words(" ".join(t)), 5) for t in (line * 2, changed))
+    assert (len(a), len(set(a)), len(set(a) & set(b)), len(set(a) | set(b))) == (46, 25, 25, 30)
+    rows = [(1, " ".join(line * 2)), (2, " ".join(changed)), (3, fresh(90))]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.stop) for r in got} == {(1, 0, 50), (2, 0, 50)}
+    more = np.concatenate([a, b, a[:9]])
+    assert passages.fewest(more, 46) == min(len(set(more[k : k + 46])) for k in range(len(more) - 45))
+
+
+def test_the_floor_leaves_no_partner_out():
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        least, base = 12, rng.integers(0, int(rng.choice([5, 9, 40])), 24)
+        contexts = []
+        for _ in range(8):
+            c = np.where(rng.random(24) < 0.08, rng.integers(50, 99, 24), base)
+            at = 12
+            c[at] = 100
+            contexts.append((c.astype(np.uint32), at))
+        every = range(len(contexts))
+        got = passages.similar_runs(contexts, [1] * len(contexts), least, 0.8)
+        for k in every:
+            near = any(passages.verified(*contexts[k], *contexts[o], least, 0.8) for o in every if o != k)
+            assert got[k] or not near
