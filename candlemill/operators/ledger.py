@@ -67,16 +67,36 @@ def panel(bars: DataFrame, found: DataFrame, dates: DataFrame, cfg: PatternConfi
 
 
 def calendar(bars: DataFrame, signals: DataFrame) -> DataFrame:
-    """Ledger dates: signal dates that are trading days, with both positions."""
+    """Ledger dates: signal dates with their number, and both positions of those that are trading days.
+
+    ``last`` is the ``lpos`` of the latest trading day up to a date, null before the first one.
+    """
     days = bars.select(F.col("ts").cast("date").alias("date")).distinct()
     days = days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
-    used = signals.select(F.col("data_date").alias("date")).distinct().join(days, "date")
+    used = signals.select(F.col("data_date").alias("date")).distinct().join(days, "date", "left")
     w = Window.orderBy("date")
-    return used.withColumns({
-        "lpos": F.row_number().over(w) - 1, "n_dates": F.count(F.lit(1)).over(Window.partitionBy()),
+    last = F.nullif(F.count("pos").over(w), F.lit(0)).cast("int") - 1
+    return used.withColumns({"day": F.row_number().over(w) - 1, "last": last}).withColumns({
+        "lpos": F.when(F.col("pos").isNotNull(), F.col("last")), "n_dates": F.count("pos").over(Window.partitionBy()),
     })
 
 
+def on_every_date(done: DataFrame, dates: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The ledger by all its dates; one without prices has the last equity and no trades."""
+    at = dates.filter(F.col("lpos").isNotNull()).select("date", "day", "lpos")
+    out = done.join(at, "lpos")
+    for col in ("entry_lpos", "exit_lpos"):
+        out = out.join(at.select(F.col("lpos").alias(col), F.col("day").alias(f"_{col}")), col, "left")
+    out = out.withColumns({"lpos": F.col("day"), "entry_lpos": F.col("_entry_lpos"), "exit_lpos": F.col("_exit_lpos")})
+    held = done.filter(F.col("kind") == "equity").select("scenario", F.col("lpos").alias("last"), "value")
+    known = scenarios.join(done.select("scenario").distinct(), "scenario", "left_semi").select("scenario", "capital")
+    idle = dates.filter(F.col("lpos").isNull()).select("date", "day", "last").crossJoin(known)
+    carried = idle.join(held, ["scenario", "last"], "left").select(
+        "scenario", "date", F.lit("equity").alias("kind"), F.col("day").alias("lpos"),
+        F.coalesce("value", "capital").alias("value"))
+    return out.drop("day", "_entry_lpos", "_exit_lpos").unionByName(carried, allowMissingColumns=True)
+
+
 def candidates(
     rankings: DataFrame, bars: DataFrame, found: DataFrame, dates: DataFrame, scenarios: DataFrame,
     widest: int,
@@ -235,7 +255,8 @@ def run(
     own = bars.join(names, "symbol", "left_semi")
     if found is None:
         found = materialize(patterns_as_of(own, cfg, lookback), "as_of_patterns")
-    dates = materialize(calendar(bars, signals(rankings)), "ledger_dates")
+    every = materialize(calendar(bars, signals(rankings)), "ledger_dates")
+    dates = every.filter(F.col("lpos").isNotNull())
     prices = materialize(panel(own, found, dates.select("date", "pos", "lpos"), cfg), "ledger_prices")
     widest = max(s.top_n + s.max_positions for s in scenarios)
     cands = materialize(candidates(rankings, own, found, dates, table, widest), "ledger_candidates")
@@ -247,8 +268,8 @@ def run(
     listed = cands.withColumnRenamed("lpos", "signal_lpos").select(
         *keep, "rank", "confidence", "pattern_type", "capital", "max_positions", "top_n", "use_close", "n_dates")
     rows = listed.join(traded, keep, "left").withColumn("tradable", F.coalesce("tradable", F.lit(False)))
-    done = rows.groupBy("scenario").applyInPandas(play, _OUT)
-    return done.join(dates.select("date", "lpos"), "lpos")
+    done = materialize(rows.groupBy("scenario").applyInPandas(play, _OUT), "ledger_played")
+    return on_every_date(done, every, table)
 
 
 def results(done: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -234,6 +234,27 @@ def test_ledger_equals_a_day_by_day_loop(spark):
     assert len(res) == 4 and res["max_drawdown_pct"].between(0, 1).all()
 
 
+def test_ledger_carries_equity_over_dates_without_bars(spark):
+    bars = spark.createDataFrame([("A", pd.Timestamp(f"2024-01-0{d}").to_pydatetime()) for d in (2, 3, 5)], "symbol string, ts timestamp")
+    days = [pd.Timestamp(f"2024-01-0{d}").date() for d in (1, 2, 4, 5)]  # no bars on the 1st and the 4th
+    dates = lg.calendar(bars, spark.createDataFrame([(d,) for d in days], "data_date date"))
+    assert [(r.date.day, r.day, r.pos, r.lpos, r.n_dates) for r in dates.orderBy("date").collect()] == [
+        (1, 0, None, None, 2), (2, 1, 0, 0, 2), (4, 2, None, None, 2), (5, 3, 2, 1, 2)]
+    row = {c.split()[0]: None for c in lg._OUT.split(", ")}
+    played = spark.createDataFrame([
+        row | {"scenario": "s", "kind": "equity", "lpos": 0, "value": 90.0}, row | {"scenario": "s", "kind": "equity", "lpos": 1, "value": 99.0},
+        row | {"scenario": "s", "kind": "trade", "lpos": 1, "entry_lpos": 0, "exit_lpos": 1, "entry_price": 1.0, "exit_price": 2.0}], lg._OUT)
+    table = lg.scenario_table(spark, [lg.Scenario("s")])
+    done = lg.on_every_date(played, dates, table).cache()
+    equity = [(r.date.day, r.lpos, r.value) for r in done.filter("kind = 'equity'").orderBy("lpos").collect()]
+    assert equity == [(1, 0, 100.0), (2, 1, 90.0), (4, 2, 90.0), (5, 3, 99.0)]
+    trade = done.filter("kind = 'trade'").first()
+    assert (trade.date.day, trade.entry_lpos, trade.exit_lpos) == (5, 1, 3)
+    ret = np.array([-0.1, 0.0, 0.1])
+    sharpe = lg.results(done, table).first()["sharpe_ratio"]
+    assert math.isclose(sharpe, ret.mean() / ret.std() * math.sqrt(252), abs_tol=1e-9)
+
+
 def test_threshold_check_keeps_recent_values():
     check = flows.ThresholdCheck(history=3, warn=2, critical=4)
     assert check.evaluate(10, [1, 1]) is None and check.evaluate(2, [1, 1, 1]) is None
