@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candlemill.llm import dac, decontaminate, jaccard, language, mixing, passages, quality, secrets, substrings, vectors
+from candlemill.llm import (
+    bpe, collocations, dac, decontaminate, jaccard, language, mixing, passages, quality, secrets, spelling, substrings, vectors,
+)
 from candlemill.plans.registry import Registry
 from candlemill.session import table_path
 
@@ -171,3 +173,56 @@ def op9_secret_scan(spark, sf_dir):
         secrets.joined(F.concat(base, "markov")).alias("spans"),
         F.size("markov").cast("long").alias("n_markov"),
     )
+
+
+@reg.add("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded.drop("text"), path))
+
+
+@reg.add("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    counts = spelling.count_words(table(spark, sf_dir, "documents"), alter=97)
+    return spelling.group_variants(counts)
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents WHERE text IS NOT NULL)
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS p, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30
+), inside AS (
+  SELECT DISTINCT lang, part FROM (
+    SELECT lang, f, array_to_string(string_split(p, ' ')[i : i + m - 1], ' ') AS part
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+  ) AS s JOIN (SELECT lang, p AS part, f AS a FROM f) AS c USING (lang, part) WHERE 100 * s.f >= 80 * c.a
+), cuts AS (
+  SELECT lang, p, f AS a, cut, array_to_string(string_split(p, ' ')[1 : cut], ' ') AS x, array_to_string(string_split(p, ' ')[cut + 1 : k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)
+), best AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score,
+         row_number() OVER (PARTITION BY c.lang, c.p ORDER BY 2000000::HUGEINT * c.a // (x.f + y.f), cut) AS place
+  FROM cuts AS c JOIN f AS x ON c.lang = x.lang AND c.x = x.p JOIN f AS y ON c.lang = y.lang AND c.y = y.p
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, p) AS rank
+  FROM best AS b LEFT JOIN inside ON b.lang = inside.lang AND b.p = inside.part
+  WHERE place = 1 AND inside.part IS NULL
+)
+SELECT lang, rank, p AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@reg.add("op13_collocations", PHRASE_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
