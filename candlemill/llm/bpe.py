@@ -20,23 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-TOGETHER = 16 << 20  # bytes of texts whose words are replayed together, or one longer text
-CACHE = 250_000  # words whose ids a worker process remembers, twice
+TOGETHER = 4 << 20  # bytes of texts whose words are replayed together, or one longer text
+CACHE = 150_000  # words whose ids a worker process remembers, twice
 LONGEST = 64  # bytes of a word that is remembered
 _NONE = np.int64(1 << 62)
+_FAR = np.int32((1 << 31) - 1)  # the rank of pairs that do not merge
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: one token (base64) and its rank per line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def by_rank(ranks: dict[bytes, int]) -> list[bytes | None]:
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
 
 class Ranks:
-    """A rank file: one token (base64) and its rank per line. Ids are ranks."""
+    """Tokens of a rank file and the pairs that merge. Ids are ranks."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.size = max(self.ranks.values()) + 1
-        self.tokens = [b""] * self.size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.ranks = read_ranks(path)
+        self.tokens = by_rank(self.ranks)
+        self.size = len(self.tokens)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -45,13 +56,13 @@ class Ranks:
                     pairs.append((a * self.size + b, rank))
         pairs.sort()
         self.keys = np.array([p[0] for p in pairs] + [_NONE], np.int64)
-        self.merged = np.array([p[1] for p in pairs] + [_NONE], np.int64)
+        self.merged = np.array([p[1] for p in pairs] + [_FAR], np.int32)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair of tokens; ``_NONE`` where they do not merge or one is -1."""
-        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+        """Rank of each pair of tokens; ``_FAR`` where they do not merge or one is -1."""
+        key = np.where((a < 0) | (b < 0), -1, a * np.int64(self.size) + b)
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.merged[at], _NONE)
+        return np.where(self.keys[at] == key, self.merged[at], _FAR)
 
     def word(self, word: bytes) -> np.ndarray:
         """Ids of one word: of its pairs with the least rank the leftmost is merged, until none merges."""
@@ -93,14 +104,15 @@ class Ranks:
         starts = np.cumsum(sizes) - sizes
         n = int(sizes.sum())
         token = np.append(self.byte[np.frombuffer(b"".join(words), np.uint8)], -1)  # the last place stands for none
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
         after[starts + sizes - 1], after[n] = n, n
         before[starts], before[n] = n, n
-        rank = np.append(self.rank_of(token[:n], token[after[:n]]), _NONE)
+        rank = np.append(self.rank_of(token[:n], token[after[:n]]), _FAR)
 
         index: dict[int, list] = {}
         order = np.argsort(rank[:n], kind="stable")
-        order = order[: np.searchsorted(rank[order], _NONE)]
+        order = order[: np.searchsorted(rank[order], _FAR)]
         edges = np.flatnonzero(np.diff(rank[order])) + 1
         for places in np.split(order, edges) if len(order) else []:
             index[int(rank[places[0]])] = [places]
@@ -125,7 +137,7 @@ class Ranks:
             token[left], after[left] = r, beyond
             before[beyond] = left
             before[n] = n
-            rank[right], token[right] = _NONE, -1
+            rank[right], token[right] = _FAR, -1
             changed = np.concatenate([left, before[left]])
             changed = changed[changed < n]
             new = self.rank_of(token[changed], token[after[changed]])
@@ -135,7 +147,7 @@ class Ranks:
                 holds = np.searchsorted(starts, places, "right") - 1
                 several = holds[1:][holds[1:] == holds[:-1]]
                 apart.update(np.intersect1d(np.searchsorted(starts, lower, "right") - 1, several).tolist())
-            some = new < _NONE
+            some = new < _FAR
             for value, place in zip(new[some].tolist(), changed[some].tolist(), strict=True):
                 if value in index:
                     index[value].append(place)
@@ -252,7 +264,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
     kept = out.names[:-1]
 
     def run(batches):
-        tokens = pa.array(Ranks(path).tokens, pa.large_binary())
+        tokens = pa.array(by_rank(read_ranks(path)), pa.large_binary())
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             data = tokens.take(pc.list_flatten(lists))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from candlemill.session import discard, materialize
 
-CHUNK = 24 << 20  # bytes of texts in a chunk, all languages of a task together, or one longer text
+CHUNK = 8 << 20  # bytes of texts in a chunk, all languages of a task together, or one longer text
 BITS = 10  # a tile has 2^BITS ids a side
 HEAD = 16  # tiles a side that may be dense
 DENSE = 1 << 15  # occurrences in a tile from which it is counted densely
@@ -138,9 +138,14 @@ def word_ids(chunks: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _one(chunk: int, seq: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([seq.astype("<i8").tobytes()], pa.binary())], ["chunk", "seq"]
-    )
+    """One row; its last byte is the width of the ids before it."""
+    width = 4 if seq.max(initial=0) < 1 << 31 else 8
+    data = seq.astype(f"<i{width}").tobytes() + bytes([width])
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["chunk", "seq"])
+
+
+def _ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(memoryview(data)[:-1], f"<i{data[-1]}").astype(np.int64)
 
 
 def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD, dense: int = DENSE):
@@ -183,7 +188,7 @@ def tiles(seqs: DataFrame, salts: int, bits: int = BITS, dense: int = DENSE) ->
     def run(batches):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seq = np.frombuffer(data, "<i8")
+                seq = _ids(data)
                 a, b = seq[:-1], seq[1:]
                 both = (a >= 0) & (b >= 0)
                 rows = [
@@ -336,7 +341,7 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
     def renumber(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                seq = np.frombuffer(batch.column(1)[k].as_py(), "<i8")
+                seq = _ids(batch.column(1)[k].as_py())
                 left, right, names = [], [], []
                 for t in batch.column(2)[k].as_py():
                     cells = np.frombuffer(t["cells"], "<u4").astype(np.int64)
