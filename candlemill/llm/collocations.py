@@ -2,8 +2,8 @@
 
 A *chunk* is some megabytes of texts of one language as a sequence of word ids, with breaks between
 pieces. Words that are frequent enough get ids by descending frequency. A pair of neighbours is a cell
-of a matrix that is cut into square tiles; the common tiles at the head are counted densely with
-``bincount``, all others as sorted cells with run lengths. Tiles of all chunks are added up, in two
+of a matrix that is cut into tiles, small ones for the most frequent ids; common tiles at this head are
+counted densely with ``bincount``, all others as sorted cells with run lengths. Tiles of all chunks are added up, in two
 steps so that no tile gathers all chunks at once, and cells below the least count go.
 
 The pairs that are left are ranked by frequency anew, every chunk learns the ids of its own pairs, and
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from candlemill.session import discard, materialize
 
 CHUNK = 8 << 20  # bytes of texts in a chunk, all languages of a task together, or one longer text
-BITS = 10  # a tile has 2^BITS ids a side
-HEAD = 16  # tiles a side that may be dense
+BITS = 10  # a tile of the most frequent ids has 2^BITS of them a side
+WIDER = 2  # any other tile has 2^WIDER times as many
+HEAD = 16  # tiles of the most frequent ids a side
 DENSE = 1 << 15  # occurrences in a tile from which it is counted densely
 LEAST = 30
 LONGEST = 4
@@ -148,11 +149,35 @@ def _ids(data: bytes) -> np.ndarray:
     return np.frombuffer(memoryview(data)[:-1], f"<i{data[-1]}").astype(np.int64)
 
 
+def _place(ids: np.ndarray, bits: int, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tile number and place in the tile of ids."""
+    beyond = ids - (head << bits)
+    wide = bits + WIDER
+    far = beyond >= 0
+    return np.where(far, head + (beyond >> wide), ids >> bits), np.where(far, beyond & ((1 << wide) - 1), ids & ((1 << bits) - 1))
+
+
+def _shift(ta: int, tb: int, bits: int, head: int) -> int:
+    """Bits of the second place in a cell of a tile."""
+    return bits if ta < head and tb < head else bits + WIDER
+
+
+def _first(tile: int, bits: int, head: int) -> int:
+    """The first id of a tile."""
+    return tile << bits if tile < head else (head << bits) + ((tile - head) << (bits + WIDER))
+
+
+def _pairs_of(ta: int, tb: int, cells: np.ndarray, bits: int, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of cells of one tile."""
+    shift, cells = _shift(ta, tb, bits, head), cells.astype(np.int64)
+    return _first(ta, bits, head) + (cells >> shift), _first(tb, bits, head) + (cells & ((1 << shift) - 1))
+
+
 def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD, dense: int = DENSE):
     """(tile row, tile column, cells, counts) of every tile that holds one of the pairs; cells ascend."""
-    ta, tb, mask = a >> bits, b >> bits, (1 << bits) - 1
-    cell = ((a & mask) << bits) | (b & mask)
+    (ta, oa), (tb, ob) = _place(a, bits, head), _place(b, bits, head)
     near = (ta < head) & (tb < head)
+    cell = np.where(near, (oa << bits) | ob, (oa << (bits + WIDER)) | ob)
     tile = np.where(near, ta * head + tb, 0)
     full = np.flatnonzero(np.bincount(tile[near], minlength=head * head) >= dense)
     is_full = np.zeros(head * head, bool)
@@ -165,7 +190,7 @@ def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD
     ta, tb, cell = ta[~densely], tb[~densely], cell[~densely]
     if not len(cell):
         return
-    width, shift = int(tb.max()) + 1, 2 * bits
+    width, shift = int(tb.max()) + 1, 2 * (bits + WIDER)
     if (int(ta.max()) + 1) * width < 1 << (62 - shift):
         key = np.sort(((ta * width + tb) << shift) | cell)
         tile, cell = key >> shift, key & ((1 << shift) - 1)
@@ -210,11 +235,21 @@ def tiles(seqs: DataFrame, salts: int, bits: int = BITS, dense: int = DENSE) ->
     return out.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
 
 
+def _added(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending cells with the sums of their counts."""
+    cell, count = np.concatenate(cells), np.concatenate(counts)
+    order = np.argsort(cell, kind="stable")
+    cell, count = cell[order], count[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, np.diff(cell) != 0))
+    return cell[first], np.add.reduceat(count, first)
+
+
 class _Tile:
-    """Sum of one tile: sorted cells while they are few, an array of all cells from then on."""
+    """Sum of one tile: sorted cells, in the head of the matrix an array of all cells once they are many."""
 
-    def __init__(self, bits: int) -> None:
-        self.cells, self.counts, self.size, self.bits, self.all = [], [], 0, bits, None
+    def __init__(self, full: int | None) -> None:
+        self.cells, self.counts, self.size, self.full, self.all = [], [], 0, full, None
+        self.most = 1 << 20  # cells that wait to be added up
 
     def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
         if self.all is not None:
@@ -223,21 +258,21 @@ class _Tile:
         self.cells.append(cells)
         self.counts.append(counts)
         self.size += len(cells)
-        if self.size >= 1 << (2 * self.bits - 2):
-            self.all = np.zeros(1 << (2 * self.bits), np.int64)
+        if self.full and self.size >= self.full // 4:
+            self.all = np.zeros(self.full, np.int64)
             for c, n in zip(self.cells, self.counts, strict=True):
                 self.all[c] += n
             self.cells, self.counts = [], []
+        elif self.size >= self.most:
+            cell, count = _added(self.cells, self.counts)
+            self.cells, self.counts, self.size = [cell], [count], len(cell)
+            self.most = max(self.most, 2 * self.size)
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         if self.all is not None:
             cells = np.flatnonzero(self.all)
             return cells, self.all[cells]
-        cells, counts = np.concatenate(self.cells), np.concatenate(self.counts)
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, np.diff(cells) != 0))
-        return cells[first], np.add.reduceat(counts, first)
+        return _added(self.cells, self.counts)
 
 
 def _summed(batches, keys: list[str], wide: str, bits: int):
@@ -250,7 +285,7 @@ def _summed(batches, keys: list[str], wide: str, bits: int):
             if key != last:
                 if tile is not None:
                     yield last, *tile.sums()
-                last, tile = key, _Tile(bits)
+                last, tile = key, _Tile(1 << (2 * bits) if key[0] < HEAD and key[1] < HEAD else None)
             tile.add(np.frombuffer(cells[k].as_py(), "<u4"), np.frombuffer(counts[k].as_py(), wide))
     if tile is not None:
         yield last, *tile.sums()
@@ -268,8 +303,7 @@ def frequent_cells(parts: DataFrame, least: int, bits: int = BITS) -> DataFrame:
     def all_of_them(batches):
         for (ta, tb), cells, sums in _summed(batches, ["ta", "tb"], "<i8", bits):
             kept = sums >= least
-            cells = cells[kept].astype(np.int64)
-            columns = [(ta << bits) | (cells >> bits), (tb << bits) | (cells & ((1 << bits) - 1)), sums[kept]]
+            columns = [*_pairs_of(ta, tb, cells[kept], bits), sums[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "f"])
 
     salted = ["ta", "tb", "salt"]
@@ -283,7 +317,7 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
     A tile's pairs are packed into one row, which is sent to each of the tile's salts ahead of the chunks'
     own cells there; every chunk gets back the ids of the cells that it asked for.
     """
-    mask = (1 << bits) - 1
+    head, wide = HEAD << bits, bits + WIDER
 
     def pack(batches):
         last, held = None, []
@@ -306,10 +340,16 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
         if held:
             yield row()
 
+    def tile_of(x: Column) -> Column:
+        return F.when(x < head, F.shiftright(x, bits)).otherwise(HEAD + F.shiftright(x - head, wide))
+
+    def place_of(x: Column) -> Column:
+        return F.when(x < head, x.bitwiseAND((1 << bits) - 1)).otherwise((x - head).bitwiseAND((1 << wide) - 1))
+
     a, b = F.col("a"), F.col("b")
+    shifted = F.when((a < head) & (b < head), F.shiftleft(place_of(a), bits)).otherwise(F.shiftleft(place_of(a), wide))
     packed = (
-        pairs.select(F.shiftright(a, bits).alias("ta"), F.shiftright(b, bits).alias("tb"),
-                     (F.shiftleft(a.bitwiseAND(mask), bits) + b.bitwiseAND(mask)).alias("cell"), "id")
+        pairs.select(tile_of(a).alias("ta"), tile_of(b).alias("tb"), (shifted + place_of(b)).alias("cell"), "id")
         .repartition("ta", "tb").sortWithinPartitions("ta", "tb", "cell")
         .mapInArrow(pack, "ta long, tb long, cells binary, ids binary")
         .select("ta", "tb", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"),
@@ -344,9 +384,9 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
                 seq = _ids(batch.column(1)[k].as_py())
                 left, right, names = [], [], []
                 for t in batch.column(2)[k].as_py():
-                    cells = np.frombuffer(t["cells"], "<u4").astype(np.int64)
-                    left.append((t["ta"] << bits) | (cells >> bits))
-                    right.append((t["tb"] << bits) | (cells & mask))
+                    x, y = _pairs_of(t["ta"], t["tb"], np.frombuffer(t["cells"], "<u4"), bits)
+                    left.append(x)
+                    right.append(y)
                     names.append(np.frombuffer(t["ids"], "<i8"))
                 left, right, names = map(np.concatenate, (left, right, names))
                 # a chunk has few ids of its own, so a pair of their places fits one number

@@ -81,8 +81,9 @@ def test_dense_sparse_and_far_tiles_count_alike():
             found = Counter()
             for x, y, cells, counts in collocations.count_cells(a, b, bits=4, head=3, dense=dense):
                 assert (np.diff(cells) > 0).all()
-                for cell, n in zip(cells.tolist(), counts.tolist(), strict=True):
-                    found[x << 4 | cell >> 4, y << 4 | cell & 15] += n
+                left, right = collocations._pairs_of(x, y, cells, 4, 3)
+                for u, v, n in zip(left.tolist(), right.tolist(), counts.tolist(), strict=True):
+                    found[u, v] += n
             assert found == want
 
 
