@@ -3,6 +3,7 @@ import random
 import re
 
 from odd import no_docs, odd_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from candlemill.llm import queries, secrets
 
@@ -65,6 +66,30 @@ def test_random_strings_are_told_from_identifiers(spark):
         assert [m.at for m in r.markov] == ([6] if random_one else []), r.text
 
 
+def test_several_hundred_random_strings(spark):
+    """Unlabelled random strings among the texts; nine in ten at least are found, and few identifiers."""
+    rng = random.Random(11)
+    texts = [f"a {''.join(rng.choice(secrets.ALPHABET[:62]) for _ in range(28))} b" for _ in range(420)]
+    pieces = ["inter", "nation", "alize", "config", "_value", "Handler", "over", "stream", "count", "thing", "ation", "ment"]
+    names = ["x " + "".join(rng.choice(pieces) for _ in range(6)) for _ in range(300)]
+    rows = [(10**6 + k, t) for k, t in enumerate(texts + names)]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    found = secrets.scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()
+    hit = {r.doc_id - 10**6 for r in found if [m.at for m in r.markov] == [2]}
+    assert len(hit & set(range(420))) >= 0.9 * 420
+    assert len(hit - set(range(420))) <= 0.05 * 300
+
+
+def test_margin_stands_between_the_classes(spark):
+    rows = [("k" * 9 + str(n), 0, n % 2 == 0) for n in range(40)] + [("Z9" * 8 + str(n), 1, n % 2 == 0) for n in range(40)]
+    labelled = spark.createDataFrame(rows, "value string, secret int, held boolean")
+    ratios = secrets.learn_markov(labelled)
+    margin, lost, wrong = secrets.learn_margin(labelled, ratios)
+    scores = labelled.select("secret", secrets.score(F.col("value"), ratios).alias("s")).collect()
+    assert lost == wrong == 0 and all((r.s >= margin) == (r.secret == 1) for r in scores)
+    assert secrets.learn_margin(labelled.where("secret = 0"), ratios)[0] == 0.0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = secrets.scan(odd_docs).collect()
     assert len(got) == odd_docs.count() and not any(r.assign or r.access or r.hex for r in got)
