@@ -27,7 +27,7 @@ from candlemill.session import discard, materialize
 
 CHUNK = 8 << 20  # bytes of texts in a chunk, all languages of a task together, or one longer text
 BITS = 10  # a tile of the most frequent ids has 2^BITS of them a side
-WIDER = 2  # any other tile has 2^WIDER times as many
+WIDER = 3  # any other tile has 2^WIDER times as many
 HEAD = 16  # tiles of the most frequent ids a side
 DENSE = 1 << 15  # occurrences in a tile from which it is counted densely
 LEAST = 30
@@ -157,20 +157,13 @@ def _place(ids: np.ndarray, bits: int, head: int) -> tuple[np.ndarray, np.ndarra
     return np.where(far, head + (beyond >> wide), ids >> bits), np.where(far, beyond & ((1 << wide) - 1), ids & ((1 << bits) - 1))
 
 
-def _shift(ta: int, tb: int, bits: int, head: int) -> int:
-    """Bits of the second place in a cell of a tile."""
-    return bits if ta < head and tb < head else bits + WIDER
-
-
-def _first(tile: int, bits: int, head: int) -> int:
-    """The first id of a tile."""
-    return tile << bits if tile < head else (head << bits) + ((tile - head) << (bits + WIDER))
-
-
-def _pairs_of(ta: int, tb: int, cells: np.ndarray, bits: int, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of cells of one tile."""
-    shift, cells = _shift(ta, tb, bits, head), cells.astype(np.int64)
-    return _first(ta, bits, head) + (cells >> shift), _first(tb, bits, head) + (cells & ((1 << shift) - 1))
+def _pairs_of(ta, tb, cells: np.ndarray, bits: int, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of cells, whose tiles are numbers or arrays."""
+    ta, tb, cells = np.asarray(ta), np.asarray(tb), cells.astype(np.int64)
+    wide = bits + WIDER
+    shift = np.where((ta < head) & (tb < head), bits, wide)
+    first, second = (np.where(t < head, t << bits, (head << bits) + ((t - head) << wide)) for t in (ta, tb))
+    return first + (cells >> shift), second + (cells & ((1 << shift) - 1))
 
 
 def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD, dense: int = DENSE):
@@ -382,13 +375,14 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
         for batch in batches:
             for k in range(batch.num_rows):
                 seq = _ids(batch.column(1)[k].as_py())
-                left, right, names = [], [], []
-                for t in batch.column(2)[k].as_py():
-                    x, y = _pairs_of(t["ta"], t["tb"], np.frombuffer(t["cells"], "<u4"), bits)
-                    left.append(x)
-                    right.append(y)
-                    names.append(np.frombuffer(t["ids"], "<i8"))
-                left, right, names = map(np.concatenate, (left, right, names))
+                told = batch.column(2)[k].values
+                cells = told.field("cells")
+                sizes = pc.binary_length(cells).to_numpy(zero_copy_only=False) // 4
+                left, right = _pairs_of(
+                    np.repeat(_fields(told, "ta"), sizes), np.repeat(_fields(told, "tb"), sizes),
+                    np.frombuffer(b"".join(cells.to_pylist()), "<u4"), bits,
+                )
+                names = np.frombuffer(b"".join(told.field("ids").to_pylist()), "<i8")
                 # a chunk has few ids of its own, so a pair of their places fits one number
                 own, place = np.unique(seq, return_inverse=True)
                 width = len(own)
