@@ -17,6 +17,7 @@ from candlemill.operators.structure import extreme_flags
 from candlemill.schemas import KEYS
 from candlemill.session import materialize
 
+SWING_BLOCK = 2048  # places of swings that are counted together
 # Registration order; ties in score keep it.
 DETECTORS = (
     "w_bottom", "m_top", "false_breakdown", "false_breakout", "false_breakdown_w_bottom",
@@ -69,7 +70,7 @@ def swings(
     span = None if block is None else block * 2
     points = running(
         points, keys, {"_h": ("count", F.col("is_high")), "_l": ("count", ~F.col("is_high"))},
-        order="_ord", block=span or 2 * SEARCH_BLOCK, inclusive=False,
+        order="_ord", block=span or SWING_BLOCK, inclusive=False,
     )
     own = F.when(F.col("is_high"), F.col("_h")).otherwise(F.col("_l"))
     other = F.when(F.col("is_high"), F.col("_l") - F.col("both").cast("int")).otherwise(F.col("_h"))
@@ -314,7 +315,7 @@ def first_breakouts(
 ) -> DataFrame:
     """First bar at or after ``scan_from`` that closes beyond ``neckline`` in ``direction``.
 
-    The first later block whose close range passes the level is found from block summaries;
+    The first later block whose close range passes the level is found in a tree of block summaries;
     only that block and the starting one are then searched bar by bar, by equal block number.
     """
     ids = list(id_cols)

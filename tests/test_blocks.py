@@ -9,7 +9,7 @@ from candlemill.functions.asof import as_of_last
 from candlemill.functions.blocks import Stage, blocked, running
 from candlemill.functions.quantile import exact_median
 from candlemill.functions.rank import rank_descending
-from candlemill.functions.search import first_hit, range_extremes
+from candlemill.functions.search import climb, depth, first_hit, range_extremes, tree
 from candlemill.schemas import KEYS
 
 
@@ -87,6 +87,45 @@ def test_range_extremes_equal_slices(spark, bars, block):
         assert got.loc[q.ask, "max_high"] == part.high.max() and got.loc[q.ask, "min_low"] == part.low.min()
 
 
+@pytest.mark.parametrize(("block", "fan"), [(2, 2), (3, 4), (7, 16)])
+def test_deep_trees_equal_scans(spark, bars, block, fan):
+    pdf = rows(bars, "symbol", "idx")
+    rng = np.random.default_rng(6)
+    asks = pdf.sample(80, random_state=2)[["symbol", "timeframe", "idx"]].assign(
+        level=rng.uniform(pdf.close.min(), pdf.close.max() + 5, 80), ask=range(80)).rename(columns={"idx": "a"})
+    asks["b"] = asks.a + rng.integers(0, 400, 80)
+    ends = pdf.groupby("symbol").idx.max()
+    asks["b"] = np.minimum(asks.b, asks.symbol.map(ends))
+    points = spark.createDataFrame(asks)
+    assert depth(bars, block, fan) > 1
+    hits = first_hit(
+        points, bars, KEYS, ["ask"], ["level"], "a", {"_hi": F.max("close")},
+        F.col("_hi") > F.col("level"), F.col("close") > F.col("level"), F.struct("idx"), block=block, fan=fan)
+    hit = {r["ask"]: r["hit"]["idx"] for r in hits.collect()}
+    got = range_extremes(points, bars, KEYS, ["ask"], "a", "b", block=block, fan=fan).toPandas().set_index("ask")
+    for q in asks.itertuples():
+        own = pdf[(pdf.symbol == q.symbol) & (pdf.idx >= q.a)]
+        part = own[own.idx <= q.b]
+        later = own[own.close > q.level]
+        assert hit.get(q.ask) == (None if later.empty else later.idx.min())
+        assert got.loc[q.ask, "max_high"] == part.high.max() and got.loc[q.ask, "min_low"] == part.low.min()
+
+
+def test_rows_that_points_meet_grow_with_the_series(spark):
+    met = []
+    for n in (2_000, 8_000, 32_000):
+        line = spark.range(n).select(F.lit("A").alias("symbol"), F.col("id").alias("idx"), F.rand(1).alias("close"))
+        levels = depth(line, 8, 8)
+        nodes = tree(line, ["symbol"], {"_hi": F.max("close")}, levels, 8, 8)
+        asks = []
+        for level in range(1, levels + 1):
+            own = F.floor(F.col("idx") / 8**level)
+            asks.append(F.struct(F.lit(level).alias("level"), (F.floor(own / 8) if level < levels else F.lit(0).cast("bigint")).alias("parent"),
+                                 own.alias("lo"), F.lit(None).cast("bigint").alias("hi")))
+        met.append(climb(line.select("symbol", "idx"), nodes, ["symbol"], asks, F.col("idx"), 4).count() / n)
+    assert met[-1] <= 8 * depth(line, 8, 8) and met[-1] < 2.5 * met[0]  # a row per block would be sixteen times as many
+
+
 def test_exact_median_of_skewed_groups(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"k": ["big"] * 3000 + ["small"] * 4 + ["one"], "v": rng.normal(0, 3, 3005)})
