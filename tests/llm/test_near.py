@@ -135,7 +135,50 @@ def test_odd_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-@pytest.mark.parametrize("rows", [2, 10**4, 10**9])
-def test_passes_reach_the_recall(rows):
-    n = vectors.passes_for(rows)
-    assert 1 <= n < 200 and jaccard.runs_for(1) == 5
+def pairs_in_a_cluster(n, planted, cosine, d=32, seed=9):
+    """Unit vectors around one direction, any two at about ``cosine``, and partners at 0.981 for the first ``planted``."""
+    rng = np.random.default_rng(seed)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    middle = unit(rng.normal(size=d))
+    x = unit(np.sqrt(cosine) * middle + np.sqrt(1 - cosine) * unit(rng.normal(size=(n, d))))
+    some = x[:planted]
+    away = rng.normal(size=some.shape)
+    away = unit(away - (away * some).sum(1, keepdims=True) * some)
+    return np.concatenate([x, 0.981 * some + np.sqrt(1 - 0.981**2) * away])
+
+
+def test_pairs_in_a_dense_cluster_are_found(spark):
+    n, planted = 2500, 200
+    x = pairs_in_a_cluster(n, planted, 0.8)
+    near = x @ x.T >= vectors.COSINE
+    np.fill_diagonal(near, False)
+    name = union(range(len(x)), list(zip(*np.nonzero(near), strict=True)))
+    assert near.sum() >= 2 * planted
+    df = spark.createDataFrame([(k, v.tolist(), 1, "x") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int, node string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df.repartition(4)).collect()}
+    asked = range(0, len(x), 20)  # queries against all rows
+    assert sum(got[k][0] for k in asked) >= 0.99 * near[list(asked)].sum()
+    assert sum(got[k] != (int(near[k].sum()), name[k]) for k in range(len(x))) <= 2
+
+
+def test_rows_no_pass_can_part_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_PASSES", vectors.FIRST)
+    x = pairs_in_a_cluster(700, 60, 0.97)
+    near = x @ x.T >= vectors.COSINE
+    np.fill_diagonal(near, False)
+    name = union(range(len(x)), list(zip(*np.nonzero(near), strict=True)))
+    df = spark.createDataFrame([(k, v.tolist(), 1, "x") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int, node string")
+    got = vectors.near_vectors(df.repartition(3), neighbours=8).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (int(near[k].sum()), name[k]) for k in range(len(x))}
+
+
+def test_passes_reach_the_recall():
+    assert vectors.passes_for([]) == 0
+    assert vectors.passes_for([(40, 10**9)]) == 1
+    needed = [vectors.passes_for([(k, 10**6)]) for k in (8, 0, -8, -16)]
+    assert needed == sorted(needed) and needed[-1] < vectors.MOST_PASSES
+    assert vectors.passes_for([(None, 1), (8, 99)]) == vectors.MOST_PASSES  # one row in a hundred cannot be found
+    assert jaccard.runs_for(1) == 5
