@@ -360,13 +360,52 @@ def fold_bars(bars: DataFrame, ranges: DataFrame, part: str, keys: Sequence[str]
     )
 
 
+def evaluations(ranges: DataFrame, part: str, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """Every fold's evaluation bars (``eval_idx``, counted from the fold's first bar), with the first
+    and last bar each sees, ``_from`` and ``_to``, counted from the start of the series."""
+    step, lo = cfg.recompute_interval, F.col(f"{part}_start")
+    lowest, last = math.ceil(cfg.warmup / step) * step, F.col(f"{part}_end") - lo - 1
+    at = F.when(last >= lowest, F.sequence(F.lit(lowest).cast("bigint"), last, F.lit(step).cast("bigint")))
+    return ranges.withColumn("eval_idx", F.explode(at)).withColumns({
+        "_from": lo + F.greatest(F.col("eval_idx") - cfg.lookback, F.lit(0)), "_to": lo + F.col("eval_idx"),
+    }).drop(*[f"{p}_{end}" for p in ("train", "test") for end in ("start", "end")])
+
+
+def shared_setups(
+    bars: DataFrame, asked: DataFrame, emitter: Emitter, cfg: BacktestConfig, keys: Sequence[str],
+) -> DataFrame:
+    """All setups of every evaluation in ``asked``, as ``setups_at_evals`` would find them fold by fold.
+
+    Folds that see the same bars at an evaluation share one prefix, so anchored folds detect their
+    common past once. A prefix takes its bars from the two or three blocks it touches.
+    """
+    keys = list(keys)
+    seen = materialize(shared_prefixes(bars, asked, cfg, keys), "prefixes")
+    found = materialize(emitter.setups(seen, [*keys, "_from", "_to"]), "prefix_setups")
+    return found.withColumn("last", F.col("idx") == F.col("_to") - F.col("_from")).join(
+        asked, [*keys, "_from", "_to"]).drop("_from", "_to")
+
+
+def shared_prefixes(bars: DataFrame, asked: DataFrame, cfg: BacktestConfig, keys: Sequence[str]) -> DataFrame:
+    """The bars of each different (``_from``, ``_to``) of ``asked``, renumbered from 0."""
+    keys, size = list(keys), cfg.lookback + 1
+    first, last = F.floor(F.col("_from") / size), F.floor(F.col("_to") / size)
+    spans = asked.select(*keys, "_from", "_to").distinct().withColumn("_blk", F.explode(F.sequence(first, last)))
+    return (
+        bars.withColumn("_blk", F.floor(F.col("idx") / size)).join(spans, [*keys, "_blk"])
+        .filter(F.col("idx").between(F.col("_from"), F.col("_to")))
+        .withColumns({"idx": F.col("idx") - F.col("_from"), "n_bars": F.col("_to") - F.col("_from") + 1})
+        .drop("_blk")
+    )
+
+
 def walk_forward(
     bars: DataFrame, emitter: Emitter, cfg: BacktestConfig = BacktestConfig(),
     wf: WalkForwardConfig = WalkForwardConfig(), keys: Sequence[str] = KEYS,
 ) -> tuple[DataFrame, DataFrame]:
     """(per-fold metrics, per-series aggregate): sweep on train, best parameters on test.
 
-    All folds of all series run as keys of one job.
+    All folds of all series run as keys of one job, over the setups of prefixes that they share.
     """
     keys = list(keys)
     run = [*keys, "fold"]
@@ -374,8 +413,11 @@ def walk_forward(
     spark = bars.sparkSession
     params = grid(spark, cfg)
     parts = {p: materialize(fold_bars(bars, ranges, p, keys), p) for p in ("train", "test")}
-    swept_found = materialize(setups_at_evals(parts["train"], emitter, cfg, run), "setups")
-    swept = materialize(_trades(swept_found.crossJoin(params), parts["train"], emitter.dedupe, cfg,
+    asked = evaluations(ranges, "train", cfg).withColumn("part", F.lit("train")).unionByName(
+        evaluations(ranges, "test", cfg).withColumn("part", F.lit("test")))
+    setups = materialize(shared_setups(bars, asked, emitter, cfg, keys), "setups")
+    found = {p: setups.filter(F.col("part") == p).drop("part") for p in parts}
+    swept = materialize(_trades(found["train"].crossJoin(params), parts["train"], emitter.dedupe, cfg,
                                 run, ["param_id"]), "train_trades")
     every = ranges.select(*run, (F.col("train_end") - F.col("train_start")).alias("n_bars"))
     train = metrics(swept, every.crossJoin(params.select("param_id")), [*run, "param_id"], cfg).join(params, "param_id")
@@ -388,8 +430,8 @@ def walk_forward(
              F.coalesce("min_confidence", "_c").alias("min_confidence"),
              F.coalesce("min_rr_ratio", "_r").alias("min_rr_ratio")), "best")
     is_trades = swept.join(best.select(*run, "param_id"), [*run, "param_id"]).drop("param_id")
-    found = setups_at_evals(parts["test"], emitter, cfg, run).join(best.drop("param_id"), run)
-    oos_trades = materialize(_trades(found, parts["test"], emitter.dedupe, cfg, run, []), "oos_trades")
+    chosen = found["test"].join(best.drop("param_id"), run)
+    oos_trades = materialize(_trades(chosen, parts["test"], emitter.dedupe, cfg, run, []), "oos_trades")
     tests = ranges.select(*run, (F.col("test_end") - F.col("test_start")).alias("n_bars"))
     per_fold = best.join(_named(metrics(is_trades, every, run, cfg), run, "is_"), run).join(
         _named(metrics(oos_trades, tests, run, cfg), run, "oos_"), run)

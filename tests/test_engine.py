@@ -170,6 +170,31 @@ def test_walk_forward_aggregates_its_folds(bars, frames):
     assert math.isclose(f["oos_sharpe_ratio"], want["sharpe_ratio"], rel_tol=1e-6, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("mode", ["anchored", "rolling"])
+def test_folds_share_their_prefixes(bars, mode):
+    ranges = en.folds(en.runs_of(bars), WalkForwardConfig(80, 40, 20, mode))
+    run = [*KEYS, "fold"]
+    for part in ("train", "test"):
+        asked = en.evaluations(ranges, part, CFG)
+        got = en.shared_setups(bars, asked, EMITTER, CFG, KEYS)
+        want = en.setups_at_evals(en.fold_bars(bars, ranges, part), EMITTER, CFG, run)
+        cols = [*run, "eval_idx", "idx", "last", "direction", "entry", "stop", "target", "ord"]
+        assert rows(got.select(cols), *cols).equals(rows(want.select(cols), *cols)) and want.count()
+
+
+def test_anchored_folds_add_no_detection(bars):
+    def prefix_rows(step):
+        ranges = en.folds(en.runs_of(bars), WalkForwardConfig(80, 30, step))
+        last = ranges.groupBy(*KEYS).agg(F.max("fold").alias("fold"))
+        asked = en.evaluations(ranges, "train", CFG)
+        every = en.shared_prefixes(bars, asked, CFG, KEYS).count()
+        return ranges.count(), every, en.shared_prefixes(bars, asked.join(last, [*KEYS, "fold"]), CFG, KEYS).count()
+
+    few, many = prefix_rows(30), prefix_rows(3)
+    assert many[0] > 4 * few[0]
+    assert few[1] == few[2] and many[1] == many[2]  # as many rows as the longest fold needs alone
+
+
 @pytest.mark.parametrize("mode", ["anchored", "rolling"])
 def test_fold_boundaries(spark, mode):
     runs = spark.createDataFrame([("A", "1d", 800), ("B", "1d", 599)], "symbol string, timeframe string, n_bars bigint")
