@@ -46,6 +46,16 @@ def test_signal_outranks_noise(spark, frame):
     assert mda.set_index("feature").loc["sig_a", "score"] > 0.1
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000, 4097])
+def test_every_repeat_is_a_permutation(spark, n):
+    out = spark.range(n).select("id", *[ln.shuffled(F.col("id"), n, k).alias(f"k{k}") for k in (1, 2)]).toPandas()
+    for k in ("k1", "k2"):
+        assert sorted(out[k]) == list(range(n))
+    if n >= 64:
+        assert not out["k1"].equals(out["k2"]) and (out["k1"] == out["id"]).mean() < 0.1
+        assert abs(np.corrcoef(out["id"], out["k1"])[0, 1]) < 0.4
+
+
 def test_training_reports_folds_and_holdout(frame):
     _, m = ln.train(frame, CFG)
     out = m.toPandas().set_index("part")
