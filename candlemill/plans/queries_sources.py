@@ -150,8 +150,8 @@ _EVALS = "ev AS (SELECT symbol, ts AS eval_ts FROM bars WHERE idx % 40 = 39)"
 def _(spark, sf):
     m = month(spark, sf)
     points = m.filter(F.pmod("idx", F.lit(40)) == 39).select("symbol", F.col("ts").alias("eval_ts"))
-    return io.as_of(m, points).groupBy("symbol", "eval_ts").agg(
-        F.count(F.lit(1)).alias("bars"), F.max("high").alias("high"), F.min("low").alias("low"))
+    return io.as_of_summary(m.select("symbol", "ts", F.col("high").alias("h"), F.col("low").alias("l")), points, {
+        "bars": ("count", F.lit(True)), "high": ("max", F.col("h")), "low": ("min", F.col("l"))})
 
 
 @reg.add("a11_resample_4h", f"""WITH b AS ({RAW['hour']}) SELECT symbol, '4h' AS timeframe, time_bucket(INTERVAL '4 hours', ts) AS ts, arg_min(open, ts) AS open,

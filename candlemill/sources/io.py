@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candlemill.functions.blocks import running, with_index
 from candlemill.schemas import KEYS, OHLCV
 from candlemill.session import materialize, table_path
 
@@ -146,6 +147,23 @@ def as_of(bars: DataFrame, points: DataFrame) -> DataFrame:
     return bars.join(points, "symbol").filter(F.col("ts") <= F.col("eval_ts"))
 
 
+def as_of_summary(
+    bars: DataFrame, points: DataFrame, specs: dict[str, tuple[str, Column]], block: int | None = None,
+) -> DataFrame:
+    """``symbol, eval_ts`` and scans (``functions.blocks.running``) over the bars ``as_of`` would give.
+
+    Bars and points are laid on one line per symbol, a point behind the bars of its time, and scanned
+    once in blocks: as many rows as there are bars and points. Points before the first bar have no row.
+    """
+    line = bars.withColumn("_point", F.lit(False)).unionByName(
+        points.select("symbol", F.col("eval_ts").alias("ts")).distinct().withColumn("_point", F.lit(True)), True
+    ).withColumn("_order", F.struct("ts", "_point"))
+    only = {name: (kind, F.when(~F.col("_point"), expr)) for name, (kind, expr) in specs.items()}
+    line = with_index(line, ["symbol"], order="_order", out="_at", size="_size")
+    out = running(line, ["symbol"], {"_bars": ("count", ~F.col("_point")), **only}, order="_at", block=block)
+    return out.filter(F.col("_point") & (F.col("_bars") > 0)).select("symbol", F.col("ts").alias("eval_ts"), *specs)
+
+
 def resample(bars: DataFrame, span: str, timeframe: str) -> DataFrame:
     """Coarser bars; empty bins do not appear. Bins are aligned to the start of the day in UTC."""
     at = F.window("ts", span)["start"].cast("timestamp_ntz")

@@ -304,3 +304,17 @@ def test_a_table_that_cannot_be_read_is_left_alone(spark, tmp_path):
         query.awaitTermination()
     assert [f.name for f in table.iterdir() if not f.name.startswith(".")] == ["part-0.parquet"]
     assert (table / "part-0.parquet").read_bytes() == b"not parquet"
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_as_of_summary_equals_the_slice(spark, block):
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2020-01-01", periods=900)
+    bars = pd.concat([pd.DataFrame({"symbol": s, "ts": rng.choice(days, n), "high": rng.normal(size=n), "low": rng.normal(size=n)})
+                      for s, n in (("A", 700), ("B", 40), ("C", 3))])
+    points = pd.DataFrame({"symbol": rng.choice(["A", "B", "C", "D"], 200), "eval_ts": rng.choice(days, 200)})
+    b = spark.createDataFrame(bars).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    p = spark.createDataFrame(points).withColumn("eval_ts", F.col("eval_ts").cast("timestamp_ntz"))
+    got = io.as_of_summary(b.select("symbol", "ts", F.col("high").alias("h")), p, {"bars": ("count", F.lit(True)), "high": ("max", F.col("h"))}, block)
+    want = io.as_of(b, p.distinct()).groupBy("symbol", "eval_ts").agg(F.count("*").alias("bars"), F.max("high").alias("high"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
