@@ -96,9 +96,10 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
 
     Every split sends the nodes of a bucket that is too large on to the buckets of the tokens that
     they choose next. A bucket full of near copies would not shrink: its nodes are held against its
-    least node first, and if few are unlike it, these alone are compared with all. Runs are added
-    until the recall holds at the depth that was needed. What is still too large after the last
-    split is compared in tiles, all of them, so nothing is dropped.
+    least node first, and if few are unlike it, these alone are compared with all. Otherwise the
+    unlike nodes are split on, with those near nodes that can be near one of them (``_against_least``).
+    Runs are added until the recall holds at the depth that was needed. What is still too large
+    after the last split is compared in tiles, all of them, so nothing is dropped.
     """
     done = links = None
     runs, first, needed = range(runs_for(1)), True, 1
@@ -113,9 +114,9 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
             if level is None:
                 rows = chosen.select("node", "run", F.xxhash64("run", "token").alias("bucket"))
             else:
-                rows = level.join(chosen, ["node", "run"]).select(
+                rows = materialize(level.join(chosen, ["node", "run"]).select(
                     "node", "run", F.xxhash64("bucket", "token").alias("bucket")
-                )
+                ), "split")
             sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
             sized = materialize(rows.join(sizes, "bucket"), "buckets")
             small = sized.where(F.col("n") <= limit).select("bucket", "node", F.lit(0).alias("tile"))
@@ -126,14 +127,17 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
             probed = materialize(_against_least(level, nodes), "probed")
             near = probed.where("near").select(F.col("node").alias("a"), F.col("least").alias("b"))
             links = near if links is None else links.unionByName(near)
-            rest = probed.where("not near").groupBy("bucket").agg(F.count("*").alias("unlike"))
-            few = probed.join(rest.where(F.col("unlike") <= 2 * limit), "bucket")
+            rest = probed.where("not near").groupBy("bucket").agg(
+                F.count("*").alias("unlike"), F.min("apart").alias("nearest")
+            )
+            open_ = probed.join(rest, "bucket").where(F.col("apart") >= F.col("nearest") - int((1 - NEAR) * SKETCH))
+            few = open_.where(F.col("unlike") <= 2 * limit)
             tiles = F.ceil(F.col("n") / limit).cast("int")
             own = F.pmod(F.xxhash64("node"), tiles).cast("int")
             done = done.unionByName(few.withColumn(
                 "tile", F.explode(F.when(F.col("near"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles - 1)))
             ).select("bucket", "node", "tile"))
-            level = probed.join(rest.where(F.col("unlike") > 2 * limit).select("bucket"), "bucket", "left_semi")
+            level = open_.where(F.col("unlike") > 2 * limit).select("bucket", "node", "run", "n")
             if level.isEmpty():
                 break
             needed = max(needed, k + 2)
@@ -150,7 +154,11 @@ def split_buckets(nodes: DataFrame, limit: int = BUCKET, depth: int = DEPTH) ->
 
 
 def _against_least(level: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of large buckets with their bucket's ``least`` node and whether they are ``near`` it."""
+    """Rows of large buckets with their bucket's ``least`` node, how far ``apart`` they are and whether ``near``.
+
+    ``apart`` counts the places where two sketches differ, which obeys the triangle inequality. So a
+    node can only be near one that is unlike the least node if it is itself far enough from that node.
+    """
     held = level.select("bucket", "node", "run", "n").join(nodes.select("node", "sketch"), "node")
     least = level.groupBy("bucket").agg(F.min("node").alias("least"))
     sketches = least.join(nodes.select(F.col("node").alias("least"), F.col("sketch").alias("_other")), "least")
@@ -160,13 +168,14 @@ def _against_least(level: DataFrame, nodes: DataFrame) -> DataFrame:
             a, b = (
                 np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (5, 6)
             )
-            near = (a == b).sum(1) >= NEAR * SKETCH
+            apart = (a != b).sum(1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(near)], ["bucket", "node", "run", "n", "least", "near"]
+                [*batch.columns[:5], pa.array(apart, pa.int32()), pa.array(SKETCH - apart >= NEAR * SKETCH)],
+                ["bucket", "node", "run", "n", "least", "apart", "near"],
             )
 
     return held.join(sketches, "bucket").select("bucket", "node", "run", "n", "least", "sketch", "_other").mapInArrow(
-        run, "bucket long, node binary, run int, n long, least binary, near boolean"
+        run, "bucket long, node binary, run int, n long, least binary, apart int, near boolean"
     )
 
 
