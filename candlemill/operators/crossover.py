@@ -172,7 +172,7 @@ def simulate(
     var = ((F.col("_s2") - F.col("_b2")) - rolling * mean * mean) / (rolling - 1)
     return rows.select(
         *keys, "run_id", "idx", "ts", "ret", "held", "equity", "opened", "closed",
-        drop_from("peak").alias("dd"),
+        drop_from("peak").alias("dd"), F.when(F.col("peak") > 0, F.col("equity") / F.col("peak")).otherwise(0.0).alias("share"),
         F.when(F.col("closed") == 1, drop_from("_at_open")).alias("trade_return"),
         F.when((F.col("_k") >= rolling) & (var > 1e-18), mean / F.sqrt(var) * F.sqrt(F.lit(float(YEAR)))).alias("rolling_sharpe"),
     )
@@ -187,6 +187,7 @@ def hold_asset(averaged: DataFrame, keys: Sequence[str] = ("symbol",), block: in
     return out.select(
         *keys, F.lit(0).alias("run_id"), "idx", "ts", "ret", F.lit(1).alias("held"), "equity",
         F.lit(0).alias("opened"), F.lit(0).alias("closed"), drop_from("_peak").alias("dd"),
+        F.when(F.col("_peak") > 0, F.col("equity") / F.col("_peak")).otherwise(0.0).alias("share"),
         F.lit(None).cast("double").alias("trade_return"), F.lit(None).cast("double").alias("rolling_sharpe"))
 
 
@@ -271,9 +272,12 @@ def yearly(sim: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
 
 
 def drawdown_dates(sim: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """When each run's deepest drawdown bottomed, and its depth."""
+    """When each run's deepest drawdown bottomed, and its depth.
+
+    The ``share`` of the peak that is left tells near-total losses apart; as drawdowns they all round to -1.
+    """
     return sim.groupBy(*keys, "run_id").agg(
-        F.min_by("ts", F.struct("dd", "idx")).alias("trough_ts"), F.min("dd").alias("max_dd"))
+        F.min_by("ts", F.struct("share", "idx")).alias("trough_ts"), F.min("dd").alias("max_dd"))
 
 
 def consistency(years: DataFrame, keys: Sequence[str] = ("symbol",), best: int = 10, worst: int = 5) -> DataFrame:
@@ -295,6 +299,6 @@ def top_by_metrics(results: DataFrame, metrics_: Sequence[str], k: int = 15, by:
     return long.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def year_matrix(years: DataFrame, first: int, last: int) -> DataFrame:
-    """One row per run, one column per year."""
-    return years.groupBy("run_id").pivot("year", list(range(first, last + 1))).agg(F.first("year_return"))
+def year_matrix(years: DataFrame) -> DataFrame:
+    """One row per run, one column per year of the data."""
+    return years.groupBy("run_id").pivot("year").agg(F.first("year_return"))

@@ -119,3 +119,12 @@ def test_a_total_loss_leaves_nothing(spark):
     assert abs(some - 1.1) < 1e-12
     dd = spark.createDataFrame([(5.0, 10.0), (0.0, 0.0), (None, 1.0)], "equity double, peak double")
     assert [r[0] for r in dd.select(xo.drop_from("peak")).collect()] == [-0.5, -1.0, None]
+
+
+def test_years_come_from_the_data_and_troughs_from_what_is_left(spark):
+    rows = [(0, f"{1987 + k // 2}-0{1 + k % 2}-01", k, e) for k, e in enumerate([1.0, 1e-18, 1e-19, 1e-17])]
+    sim = spark.createDataFrame(rows, "run_id int, day string, idx int, equity double").selectExpr(
+        "'s' AS symbol", "run_id", "cast(day AS timestamp_ntz) AS ts", "idx", "equity", "equity AS share", "equity - 1 AS dd",
+        "0.0D AS ret")
+    assert str(xo.drawdown_dates(sim).first().trough_ts) == "1988-01-01 00:00:00"  # every drawdown is -1 but the first
+    assert xo.year_matrix(xo.yearly(sim)).columns == ["run_id", "1987", "1988"]
