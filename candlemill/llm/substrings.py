@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.text import _BYTE, _powers, groups, mix
-from candlemill.session import materialize
+from candlemill.session import discard, materialize
 
 LEAST = 400  # bytes
 GRAM = 64  # bytes hashed at an anchor
@@ -213,7 +213,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, hot
                         ["node", "at", "gram", "place"],
                     )
 
-    found = texts.mapInArrow(sample, "node binary, at long, gram long, place long")
+    found = materialize(texts.mapInArrow(sample, "node binary, at long, gram long, place long"), "anchors")
     often = found.groupBy("gram").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).where("_a <> _b")
     wanted = (
         found.select("node", "at", "gram").join(often.select("gram"), "gram")
@@ -247,6 +247,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, hot
         .mapInArrow(cut, "node binary, key binary, gram long, at int, context binary, places array<long>"),
         "contexts",
     )
+    discard(found)
     different = held.groupBy("gram", "key").agg(
         F.sum(F.size("places")).alias("weight"), F.first("at").alias("at"), F.first("context").alias("context")
     )
@@ -265,20 +266,26 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, hot
     any_hot = not sizes.isEmpty()
     cool = different.join(sizes, "gram", "left_anti") if any_hot else different
     spans = cool.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(order, shape)
+    runs = None
     if any_hot:
-        spans = spans.unionByName(_hot_spans(different.join(sizes.select("gram"), "gram"), least))
-    return (
+        hot_spans, runs = _hot_spans(different.join(sizes.select("gram"), "gram"), least)
+        spans = spans.unionByName(hot_spans)
+    ranges = materialize((
         held.select("node", "key", F.explode("places").alias("p")).join(spans, "key")
         .select("node", "p", F.explode("spans").alias("s"))
         .select("node", F.struct(
             (F.col("p") - F.col("s.y")).alias("start"), (F.col("p") - F.col("s.x") + least).alias("stop")
         ).alias("r"))
         .groupBy("node").agg(F.collect_list("r").alias("ranges"))  # anchors of one text
-    )
+    ), "ranges")
+    for read in (held, runs):
+        if read is not None:
+            discard(read)
+    return ranges
 
 
-def _hot_spans(contexts: DataFrame, least: int) -> DataFrame:
-    """The same answer for grams of very many contexts: runs are counted by their digests."""
+def _hot_spans(contexts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The same answer for grams of very many contexts, and the table it reads: runs are counted by their digests."""
 
     def runs(batches):
         for batch in batches:
@@ -299,7 +306,7 @@ def _hot_spans(contexts: DataFrame, least: int) -> DataFrame:
     often = every.groupBy("run").agg(F.sum("weight").alias("n")).where("n > 1").select("run")
     return every.join(often, "run").groupBy("key").agg(F.collect_set("x").alias("xs")).select(
         "key", F.transform("xs", lambda x: F.struct(x.alias("x"), x.alias("y"))).alias("spans")
-    )
+    ), every
 
 
 def remove_repeats(
@@ -319,8 +326,9 @@ def remove_repeats(
     whole = F.coalesce(F.col(text), F.lit(""))
     node = F.unhex(F.md5(whole))
     copies = docs.select(node.alias("_node")).groupBy("_node").agg(F.count("*").alias("_copies")).where("_copies > 1")
-    ranges = repeated_ranges(docs, text, least, hot).withColumnRenamed("node", "_node")
-    about = materialize(copies.join(ranges, "_node", "full"), "repeats")
+    ranges = repeated_ranges(docs, text, least, hot)
+    about = materialize(copies.join(ranges.withColumnRenamed("node", "_node"), "_node", "full"), "repeats")
+    discard(ranges)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
