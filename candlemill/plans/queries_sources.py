@@ -240,6 +240,14 @@ def _(spark, sf):
     return io.trading_days(spark, first, last, df.select(F.col("data_date").alias("date")).distinct())
 
 
+@reg.add("a19_last_sessions", f"""WITH {RANKINGS}, e AS (SELECT min(data_date) AS a, max(data_date) AS b FROM rankings),
+d AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM e)
+SELECT date FROM d WHERE isodow(date) < 6 ORDER BY date DESC LIMIT 10""")
+def _(spark, sf):
+    first, last = tables.rankings(spark, sf).agg(F.min("data_date").cast("string"), F.max("data_date").cast("string")).first()
+    return io.last_trading_days(io.trading_days(spark, first, last), 10)
+
+
 @reg.add("a20_top_recent", f"{RK} SELECT symbol, captured_at, rank FROM rankings WHERE ranking_type = 'top100' ORDER BY captured_at DESC, rank, symbol LIMIT 25")
 def _(spark, sf):
     known = tables.read(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))

@@ -318,3 +318,10 @@ def test_as_of_summary_equals_the_slice(spark, block):
     got = io.as_of_summary(b.select("symbol", "ts", F.col("high").alias("h")), p, {"bars": ("count", F.lit(True)), "high": ("max", F.col("h"))}, block)
     want = io.as_of(b, p.distinct()).groupBy("symbol", "eval_ts").agg(F.count("*").alias("bars"), F.max("high").alias("high"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_last_sessions_skip_weekends_and_holidays(spark):
+    closed = spark.sql("SELECT DATE'2024-01-01' AS date")
+    days = io.trading_days(spark, "2023-12-28", "2024-01-03", closed)
+    assert [str(r.date) for r in io.last_trading_days(days, 3).collect()] == ["2024-01-03", "2024-01-02", "2023-12-29"]
+    assert io.last_trading_days(days, 100).count() == 4
