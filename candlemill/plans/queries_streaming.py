@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from candlemill.operators import ledger as lg
@@ -91,9 +93,13 @@ def _(spark, sf):
 SELECT event_type AS monitor, 'value' AS field, ts AS recorded_at, CASE WHEN value > 4 * m THEN 'critical' ELSE 'warning' END AS severity, {rnd('value', 4)} AS value FROM q WHERE n = 5 AND value > 2 * m""")
 def _(spark, sf):
     table, state = table_path(spark, "alerts"), table_path(spark, "chk")
-    stream = flows.read_stream(spark, sf, tables.read(spark, sf, "events").schema, only="events.parquet")
+    events = tables.read(spark, sf, "events")
+    if all(f.endswith("/events.parquet") for f in events.inputFiles()):
+        stream = flows.read_stream(spark, sf, events.schema, only="events.parquet")
+    else:  # a folder of files
+        stream = flows.read_stream(spark, os.path.join(sf, "events.parquet"), events.schema)
     readings = stream.select(F.col("event_type").alias("monitor"), F.lit("value").alias("field"),
-                             F.col("ts").cast("timestamp").alias("recorded_at"), "value")
-    flows.write_alerts(flows.check_readings(readings, flows.ThresholdCheck()), table, state).awaitTermination()
+                             F.col("ts").cast("timestamp").alias("recorded_at"), "value", "event_id")
+    flows.write_alerts(flows.check_readings(readings, flows.ThresholdCheck(), ["event_id"]), table, state).awaitTermination()
     out = spark.read.parquet(table).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
     return pick(out, "monitor field recorded_at severity", value=4)

@@ -107,7 +107,13 @@ class ThresholdCheck:
         """(severity, message) or None; ``history`` is most recent first."""
         if len(history) < self.history:
             return None
-        mean = sum(history) / len(history)
+        known = [v for v in reversed(history) if v is not None]
+        if value is None or not known:
+            return None
+        mean = 0.0
+        for v in known:  # oldest first, as a database adds them
+            mean += v
+        mean /= len(known)
         if value > self.critical * mean:
             return "critical", f"above {self.critical} x recent mean"
         if value > self.warn * mean:
@@ -115,21 +121,25 @@ class ThresholdCheck:
         return None
 
 
-def check_readings(readings: DataFrame, check: ThresholdCheck) -> DataFrame:
+def check_readings(readings: DataFrame, check: ThresholdCheck, ties: Sequence[str] = ()) -> DataFrame:
     """Alerts of a stream of (monitor, field, recorded_at, value), with keyed history as state.
 
-    Only the last few values of each key are kept between batches.
+    A batch is read by ``recorded_at``, then by the columns ``ties``; name them where instants repeat.
+    Missing values take their place in the history but not in its mean. Only the last few values of
+    each key are kept between batches.
     """
+    readings = readings.select("monitor", "field", "recorded_at", "value", *ties)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(parts)).sort_values("recorded_at")
+        batch = pd.concat(list(parts)).sort_values(["recorded_at", *ties], kind="stable", na_position="first")
         rows = []
         for at, value in zip(batch["recorded_at"], batch["value"]):
+            value = None if pd.isna(value) else float(value)
             found = check.evaluate(value, recent)
             if found:
                 rows.append((*key, at, *found, value))
-            recent = [float(value), *recent][:check.history]
+            recent = [value, *recent][:check.history]
         state.update((recent,))
         yield pd.DataFrame(rows, columns=["monitor", "field", "recorded_at", "severity", "message", "value"])
 

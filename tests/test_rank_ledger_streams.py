@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from candlemill.operators import ledger as lg
 from candlemill.operators import rank_backtest as rb
 from candlemill.operators import screen as sc
+from candlemill.plans import catalog
 from candlemill.sources import io, rankings as rk
 from candlemill.streaming import flows
 
@@ -273,6 +274,28 @@ def test_checks_carry_state_between_batches(spark, tmp_path):
     assert [(r["severity"], r["value"]) for r in got] == [("critical", 5.0)]
 
 
+def test_checks_read_equal_instants_by_their_ties(spark, tmp_path):
+    n = 40
+    pdf = pd.DataFrame({"monitor": "m", "field": "f", "recorded_at": pd.Timestamp("2024-01-01"), "seq": range(n),
+                        "value": [1.0] * (n - 2) + [None, 3.0]})
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(pdf.iloc[::-1])
+    df.coalesce(1).write.parquet(src)
+    stream = flows.read_stream(spark, src, df.schema)
+    flows.write_alerts(
+        flows.check_readings(stream, flows.ThresholdCheck(), ["seq"]), out, str(tmp_path / "chk")).awaitTermination()
+    assert [(r["severity"], r["value"]) for r in spark.read.parquet(out).collect()] == [("warning", 3.0)]
+
+
+def test_stream_checks_read_a_folder_of_files(spark, tmp_path):
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    rows = [(k, at, "click", 1.0 if k % 7 else 9.0) for k in range(30)]
+    df = spark.createDataFrame(rows[::-1], "event_id bigint, ts timestamp_ntz, event_type string, value double")
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["s4_stream_checks"](spark, str(tmp_path)).collect()
+    assert [(r["severity"], r["value"]) for r in got] == [("critical", 9.0)] * 4
+
+
 def _load(spark, tmp_path, day, names):
     row = [((pd.Timestamp("2024-01-01") + pd.Timedelta(days=day)).to_pydatetime(), f"day {day}", "top", n, k) for k, n in enumerate(names)]
     df = spark.createDataFrame(row, "captured_at timestamp, data_date string, ranking_type string, symbol string, rank int")
