@@ -29,7 +29,7 @@ CHUNK = 8
 STRIDE = 512
 SEGMENT = 1 << 16  # ids after which a segment is closed; a document is never divided
 CACHE = 150_000  # words whose ids a worker process remembers, twice
-TOGETHER = 1 << 21  # bytes of texts that are encoded at once, or one longer text
+TOGETHER = 1 << 22  # bytes of texts that are encoded at once, or one longer text
 END = 2
 _LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")  # lower-case letters that are one character in every form
@@ -174,13 +174,16 @@ class Words:
             self.old, self.young = self.young, {}
         self.young[""] = b""
         known = self.young
-        self._learn([n for n in names if n not in known])
-        codes = [known[n] for n in names]
+        codes = list(map(known.get, names))
+        if None in codes:
+            self._learn([n for n, code in zip(names, codes, strict=True) if code is None])
+            codes = list(map(known.__getitem__, names))
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         starts = np.cumsum(sizes) - sizes
         length = sizes[place]
         ends = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(starts[place] - ends[:-1], length) + np.arange(ends[-1])
+        at = np.repeat(starts[place] - ends[:-1], length)
+        at += np.arange(ends[-1])
         ids = np.frombuffer(b"".join(codes), "<u4")[at]
         cuts = ends[bounds - bounds[0]].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]

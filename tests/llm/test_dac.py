@@ -37,6 +37,13 @@ def test_words_give_the_ids_of_whole_texts(spark, cache):
         rng.shuffle(texts)
 
 
+def test_known_words_are_not_learnt_again(monkeypatch):
+    words = dac.Words(tokenizer_path())
+    first = words.ids(["some words. here", "more"])
+    monkeypatch.setattr(words, "_learn", lambda names: pytest.fail(f"learnt {names}"))
+    assert words.ids(["some words. here", "more"]) == first
+
+
 def truth(rows):
     from tokenizers import Tokenizer
 
