@@ -121,9 +121,20 @@ def month_patterns(spark, sf):
     return tables.built(spark, sf, "patterns_month", lambda: pt.detect(month(spark, sf), PatternConfig()))
 
 
+def listed_bars(spark, sf):
+    """Monthly bars of the names on the newest long list: the only series that a composite looks at."""
+    listed = sc.long_list(latest(spark, sf)).select("symbol").distinct()
+    return month(spark, sf).join(listed, "symbol", "left_semi")
+
+
+def listed_patterns(spark, sf):
+    """Their patterns, built once; the other suppliers' series are not searched for them."""
+    return tables.built(spark, sf, "patterns_listed", lambda: pt.detect(listed_bars(spark, sf), PatternConfig()))
+
+
 def scored(spark, sf):
     last = last_bars(month(spark, sf))
-    act = pt.actionable(month_patterns(spark, sf), last, max_bars=80, near=0.6)
+    act = pt.actionable(listed_patterns(spark, sf), last, max_bars=80, near=0.6)
     return sc.candidates(sc.composite(boosted(spark, sf), sc.leading(act)), last.drop("timeframe"))
 
 

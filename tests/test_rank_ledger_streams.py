@@ -348,3 +348,19 @@ def test_last_sessions_skip_weekends_and_holidays(spark):
     days = io.trading_days(spark, "2023-12-28", "2024-01-03", closed)
     assert [str(r.date) for r in io.last_trading_days(days, 3).collect()] == ["2024-01-03", "2024-01-02", "2023-12-29"]
     assert io.last_trading_days(days, 100).count() == 4
+
+
+def test_composite_searches_listed_names_only(spark):
+    from candlemill.operators import patterns, screen
+    from candlemill.plans import queries_screen as qs
+
+    sf = "/root/testdata/sf0.1"
+    listed = {r.symbol for r in screen.long_list(qs.latest(spark, sf)).select("symbol").collect()}
+    searched = {r.symbol for r in qs.listed_bars(spark, sf).select("symbol").distinct().collect()}
+    every = {r.symbol for r in qs.month(spark, sf).select("symbol").distinct().collect()}
+    assert listed and searched == listed & every and searched < every
+    act = patterns.actionable(qs.month_patterns(spark, sf), qs.last_bars(qs.month(spark, sf)), max_bars=80, near=0.6)
+    want = screen.composite(qs.boosted(spark, sf), screen.leading(act))
+    columns = ["symbol", "pattern_type", "status", "confidence", "recommendation", "composite"]
+    got = qs.scored(spark, sf).select(*columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want.select(*columns).collect())) and any(r.pattern_type for r in got)
