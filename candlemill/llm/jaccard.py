@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from candlemill.llm.graph import components
 from candlemill.llm.pairs import blocks, cell_links, forest
-from candlemill.llm.text import groups, mix, shingle_hashes, words
+from candlemill.llm.text import groups, mix, shingle_hashes, slices, words
 from candlemill.session import materialize
 
 SHINGLE = 5  # words
@@ -74,7 +74,7 @@ def prepared(docs: DataFrame, text: str, doc_id: str, similarity: float, n: int)
     """``id, node, size, sketch, paths`` of the rows with an id and at least a word."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for name, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 tokens = shingle_set(whole, n)
@@ -275,7 +275,7 @@ def jaccard_join(
     clusters = materialize(components(found if links is None else found.unionByName(links)), "clusters")
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for node, weight, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 tokens = shingle_set(whole, n)

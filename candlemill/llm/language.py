@@ -16,6 +16,7 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BITS = 21  # a code point
 _PIECE = 1_000_000  # characters counted at once
+HELD = 500_000  # counts of single texts that a task holds before it adds them up
 
 
 @cache
@@ -66,35 +67,51 @@ def top_grams(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
+def counted(batches):
+    """Per batch of ``lang, text`` the counts of its n-grams by language."""
+    for batch in batches:
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held, waiting = {}, 0
+
+        def add():
+            for language, (codes, counts) in held.items():
+                if language in sums:
+                    codes, counts = [sums[language][0], *codes], [sums[language][1], *counts]
+                sums[language] = _merge(codes, counts)
+            held.clear()
+
+        for language, whole in zip(*batch.columns, strict=True):
+            codes, counts = gram_counts(whole.as_py())
+            if len(codes):
+                kept = held.setdefault(language.as_py(), ([], []))
+                kept[0].append(codes)
+                kept[1].append(counts)
+                waiting += len(codes)
+                if waiting > HELD:
+                    add()
+                    waiting = 0
+        add()
+        for language, (found, number) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(found), pa.string()), pa.array(found), pa.array(number)],
+                ["lang", "gram", "n"],
+            )
+
+
 def learn_profiles(
     docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE
 ) -> dict[str, list[int]]:
     """Rank profile per language over all texts of ``docs`` with a language.
 
     N-grams are counted in every task, added up by language and n-gram, and the top ``size`` of
-    each language are brought to the driver: languages times ``size`` rows.
+    each language are brought to the driver: languages times ``size`` rows. A task never holds more
+    than ``HELD`` counts and one text's beside the sums of its batch.
     """
 
-    def count(batches):
-        for batch in batches:
-            held: dict[str, tuple[list, list]] = {}
-            for language, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                codes, counts = gram_counts(whole)
-                if len(codes):
-                    kept = held.setdefault(language, ([], []))
-                    kept[0].append(codes)
-                    kept[1].append(counts)
-            for language, (codes, counts) in held.items():
-                found, number = _merge(codes, counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([language] * len(found), pa.string()), pa.array(found), pa.array(number)],
-                    ["lang", "gram", "n"],
-                )
-
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = (
         docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-        .mapInArrow(count, "lang string, gram long, n long")
+        .mapInArrow(counted, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= size)
@@ -151,7 +168,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     def predict(batches):
         learnt = bundle.value
         for batch in batches:
-            found = [learnt.predict(t) for t in batch.column(place).to_pylist()]
+            found = [learnt.predict(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*names, "lang_pred", "score"],

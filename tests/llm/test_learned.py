@@ -1,13 +1,16 @@
 """Language profiles and the quality classifier."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from odd import no_docs, odd_docs  # noqa: F401
 
 from candlemill.llm import language, queries, quality
+from candlemill.llm.text import slices
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,6 +35,21 @@ def test_pieces_of_a_long_text_count_alike(monkeypatch):
     assert dict(zip(*[x.tolist() for x in language.gram_counts(text)], strict=True)) == whole
 
 
+def test_counts_of_few_texts_are_held_at_once(monkeypatch):
+    texts = [f"some words of text {k:04} and {chr(97 + k % 26) * 5}{chr(97 + k % 7) * 3}" for k in range(400)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 200, "text": texts})
+    merge, most = language._merge, []
+    monkeypatch.setattr(language, "HELD", 1000)
+    monkeypatch.setattr(language, "_merge", lambda codes, counts: most.append(sum(map(len, codes))) or merge(codes, counts))
+    got = {(n, g): k for b in language.counted([batch]) for n, g, k in zip(*b.to_pydict().values(), strict=True)}
+    want = Counter()
+    for name, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+        for g, k in zip(*language.gram_counts(text), strict=True):
+            want[name, int(g)] += int(k)
+    assert got == want
+    assert max(most) < 1000 + len(want) + 100
+
+
 def test_language_on_held_out_documents(spark):
     got = queries.op6_language_rank_order(spark, SMALL)
     truth = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
@@ -107,3 +125,9 @@ def test_hash_is_stable():
     rng = random.Random(1)
     text = "".join(rng.choice("abc é") for _ in range(500))
     assert (quality.indicators(text, seen) == quality.indicators(text, seen)).all() and not seen.any()
+
+
+def test_slices_keep_every_row():
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(a, a + n))}) for a, n in ((0, 1201), (1201, 0), (1201, 3))]
+    found = list(slices(batches))
+    assert max(b.num_rows for b in found) <= 500 and [k for b in found for k in b.column(0).to_pylist()] == list(range(1204))
