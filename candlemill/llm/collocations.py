@@ -2,7 +2,7 @@
 
 A *chunk* is some megabytes of texts of one language as a sequence of word ids, with breaks between
 pieces. Words that are frequent enough get ids by descending frequency. A pair of neighbours is a cell
-of a matrix that is cut into tiles, small ones for the most frequent ids; common tiles at this head are
+of a matrix that is cut into a bounded number of tiles, small ones for the most frequent ids; common tiles at this head are
 counted densely with ``bincount``, all others as sorted cells with run lengths. Tiles of all chunks are added up, in two
 steps so that no tile gathers all chunks at once, and cells below the least count go.
 
@@ -27,8 +27,9 @@ from candlemill.session import discard, materialize
 
 CHUNK = 8 << 20  # bytes of texts in a chunk, all languages of a task together, or one longer text
 BITS = 10  # a tile of the most frequent ids has 2^BITS of them a side
-WIDER = 3  # any other tile has 2^WIDER times as many
+WIDER = 3  # any other tile has at least 2^WIDER times as many
 HEAD = 16  # tiles of the most frequent ids a side
+BEYOND = 16  # other tiles a side at most; they widen with the ids, so that a chunk has no more rows in a larger corpus
 DENSE = 1 << 15  # occurrences in a tile from which it is counted densely
 LEAST = 30
 LONGEST = 4
@@ -149,28 +150,44 @@ def _ids(data: bytes) -> np.ndarray:
     return np.frombuffer(memoryview(data)[:-1], f"<i{data[-1]}").astype(np.int64)
 
 
-def _place(ids: np.ndarray, bits: int, head: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_bits(n: int, bits: int = BITS, head: int = HEAD) -> int:
+    """Bits of the wider tiles for ``n`` ids."""
+    return max(bits + WIDER, (max(0, n - (head << bits) - 1) // BEYOND).bit_length())
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Ascending cells as steps, of 32 bits unless one is longer; the last byte is their width."""
+    steps = np.diff(cells.astype(np.int64), prepend=0)
+    width = 4 if steps.max(initial=0) < 1 << 32 else 8
+    return steps.astype(f"<u{width}").tobytes() + bytes([width])
+
+
+def _cells(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(memoryview(data)[:-1], f"<u{data[-1]}"), dtype=np.int64)
+
+
+def _place(ids: np.ndarray, bits: int, head: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """Tile number and place in the tile of ids."""
     beyond = ids - (head << bits)
-    wide = bits + WIDER
     far = beyond >= 0
     return np.where(far, head + (beyond >> wide), ids >> bits), np.where(far, beyond & ((1 << wide) - 1), ids & ((1 << bits) - 1))
 
 
-def _pairs_of(ta, tb, cells: np.ndarray, bits: int, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(ta, tb, cells: np.ndarray, bits: int, head: int = HEAD, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of cells, whose tiles are numbers or arrays."""
     ta, tb, cells = np.asarray(ta), np.asarray(tb), cells.astype(np.int64)
-    wide = bits + WIDER
+    wide = wide or bits + WIDER
     shift = np.where((ta < head) & (tb < head), bits, wide)
     first, second = (np.where(t < head, t << bits, (head << bits) + ((t - head) << wide)) for t in (ta, tb))
     return first + (cells >> shift), second + (cells & ((1 << shift) - 1))
 
 
-def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD, dense: int = DENSE):
+def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD, dense: int = DENSE, wide: int | None = None):
     """(tile row, tile column, cells, counts) of every tile that holds one of the pairs; cells ascend."""
-    (ta, oa), (tb, ob) = _place(a, bits, head), _place(b, bits, head)
+    wide = wide or bits + WIDER
+    (ta, oa), (tb, ob) = _place(a, bits, head, wide), _place(b, bits, head, wide)
     near = (ta < head) & (tb < head)
-    cell = np.where(near, (oa << bits) | ob, (oa << (bits + WIDER)) | ob)
+    cell = np.where(near, (oa << bits) | ob, (oa << wide) | ob)
     tile = np.where(near, ta * head + tb, 0)
     full = np.flatnonzero(np.bincount(tile[near], minlength=head * head) >= dense)
     is_full = np.zeros(head * head, bool)
@@ -183,7 +200,7 @@ def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD
     ta, tb, cell = ta[~densely], tb[~densely], cell[~densely]
     if not len(cell):
         return
-    width, shift = int(tb.max()) + 1, 2 * (bits + WIDER)
+    width, shift = int(tb.max()) + 1, 2 * wide
     if (int(ta.max()) + 1) * width < 1 << (62 - shift):
         key = np.sort(((ta * width + tb) << shift) | cell)
         tile, cell = key >> shift, key & ((1 << shift) - 1)
@@ -200,7 +217,7 @@ def count_cells(a: np.ndarray, b: np.ndarray, bits: int = BITS, head: int = HEAD
         yield int(ta[s]), int(tb[s]), cells[s:e], counts[s:e]
 
 
-def tiles(seqs: DataFrame, salts: int, bits: int = BITS, dense: int = DENSE) -> DataFrame:
+def tiles(seqs: DataFrame, salts: int, bits: int = BITS, dense: int = DENSE, wide: int | None = None) -> DataFrame:
     """``ta, tb, salt, chunk, cells, counts``: the tiles of every chunk's neighbours."""
 
     def run(batches):
@@ -210,8 +227,8 @@ def tiles(seqs: DataFrame, salts: int, bits: int = BITS, dense: int = DENSE) ->
                 a, b = seq[:-1], seq[1:]
                 both = (a >= 0) & (b >= 0)
                 rows = [
-                    (x, y, cells.astype("<u4").tobytes(), counts.astype("<u4").tobytes())
-                    for x, y, cells, counts in count_cells(a[both], b[both], bits, dense=dense)
+                    (x, y, _packed(cells), counts.astype("<u4").tobytes())
+                    for x, y, cells, counts in count_cells(a[both], b[both], bits, dense=dense, wide=wide)
                 ]
                 if rows:
                     x, y, cells, counts = zip(*rows, strict=True)
@@ -268,7 +285,7 @@ class _Tile:
         return _added(self.cells, self.counts)
 
 
-def _summed(batches, keys: list[str], wide: str, bits: int):
+def _summed(batches, keys: list[str], kind: str, bits: int):
     """(key, cells, sums) of each run of rows with equal ``keys``."""
     last, tile = None, None
     for batch in batches:
@@ -279,24 +296,24 @@ def _summed(batches, keys: list[str], wide: str, bits: int):
                 if tile is not None:
                     yield last, *tile.sums()
                 last, tile = key, _Tile(1 << (2 * bits) if key[0] < HEAD and key[1] < HEAD else None)
-            tile.add(np.frombuffer(cells[k].as_py(), "<u4"), np.frombuffer(counts[k].as_py(), wide))
+            tile.add(_cells(cells[k].as_py()), np.frombuffer(counts[k].as_py(), kind))
     if tile is not None:
         yield last, *tile.sums()
 
 
-def frequent_cells(parts: DataFrame, least: int, bits: int = BITS) -> DataFrame:
+def frequent_cells(parts: DataFrame, least: int, bits: int = BITS, wide: int | None = None) -> DataFrame:
     """``a, b, f`` of all cells whose counts add up to ``least`` or more."""
 
     def some(batches):
         for (ta, tb, _), cells, sums in _summed(batches, ["ta", "tb", "salt"], "<u4", bits):
             columns = [pa.array([ta], pa.int64()), pa.array([tb], pa.int64())]
-            columns += [pa.array([x], pa.binary()) for x in (cells.astype("<u4").tobytes(), sums.astype("<i8").tobytes())]
+            columns += [pa.array([x], pa.binary()) for x in (_packed(cells), sums.astype("<i8").tobytes())]
             yield pa.RecordBatch.from_arrays(columns, ["ta", "tb", "cells", "counts"])
 
     def all_of_them(batches):
         for (ta, tb), cells, sums in _summed(batches, ["ta", "tb"], "<i8", bits):
             kept = sums >= least
-            columns = [*_pairs_of(ta, tb, cells[kept], bits), sums[kept]]
+            columns = [*_pairs_of(ta, tb, cells[kept], bits, wide=wide), sums[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "f"])
 
     salted = ["ta", "tb", "salt"]
@@ -304,13 +321,15 @@ def frequent_cells(parts: DataFrame, least: int, bits: int = BITS) -> DataFrame:
     return half.repartition("ta", "tb").sortWithinPartitions("ta", "tb").mapInArrow(all_of_them, "a long, b long, f long")
 
 
-def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bits: int = BITS) -> DataFrame:
+def pair_ids(
+    seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bits: int = BITS, wide: int | None = None
+) -> DataFrame:
     """``chunk, seq`` of the ids of ``pairs`` (``a, b, id``) at the places where neighbours are one of them.
 
     A tile's pairs are packed into one row, which is sent to each of the tile's salts ahead of the chunks'
     own cells there; every chunk gets back the ids of the cells that it asked for.
     """
-    head, wide = HEAD << bits, bits + WIDER
+    head, wide = HEAD << bits, wide or bits + WIDER
 
     def pack(batches):
         last, held = None, []
@@ -318,7 +337,7 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
         def row():
             cells, ids = zip(*held, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([np.array(cells, "<u4").tobytes()], pa.binary()),
+                [pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([_packed(np.array(cells))], pa.binary()),
                  pa.array([np.array(ids, "<i8").tobytes()], pa.binary())],
                 ["ta", "tb", "cells", "ids"],
             )
@@ -353,7 +372,7 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
         at, known, ids = None, None, None
         for batch in batches:
             for ta, tb, salt, chunk, cells, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                cells = np.frombuffer(cells, "<u4")
+                cells = _cells(cells)
                 if chunk < 0:
                     at, known, ids = (ta, tb, salt), cells, np.frombuffer(found, "<i8")
                 elif at == (ta, tb, salt):
@@ -361,7 +380,7 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
                     hit = known[place] == cells
                     if hit.any():
                         columns = [pa.array([x], pa.int64()) for x in (chunk, ta, tb)]
-                        columns += [pa.array([x.tobytes()], pa.binary()) for x in (cells[hit], ids[place[hit]])]
+                        columns += [pa.array([x], pa.binary()) for x in (_packed(cells[hit]), ids[place[hit]].tobytes())]
                         yield pa.RecordBatch.from_arrays(columns, ["chunk", "ta", "tb", "cells", "ids"])
 
     asked = parts.select("ta", "tb", "salt", "chunk", "cells", F.lit(None).cast("binary").alias("ids"))
@@ -376,11 +395,11 @@ def pair_ids(seqs: DataFrame, parts: DataFrame, pairs: DataFrame, salts: int, bi
             for k in range(batch.num_rows):
                 seq = _ids(batch.column(1)[k].as_py())
                 told = batch.column(2)[k].values
-                cells = told.field("cells")
-                sizes = pc.binary_length(cells).to_numpy(zero_copy_only=False) // 4
+                cells = [_cells(c) for c in told.field("cells").to_pylist()]
+                sizes = [len(c) for c in cells]
                 left, right = _pairs_of(
                     np.repeat(_fields(told, "ta"), sizes), np.repeat(_fields(told, "tb"), sizes),
-                    np.frombuffer(b"".join(cells.to_pylist()), "<u4"), bits,
+                    np.concatenate(cells), bits, wide=wide,
                 )
                 names = np.frombuffer(b"".join(told.field("ids").to_pylist()), "<i8")
                 # a chunk has few ids of its own, so a pair of their places fits one number
@@ -422,10 +441,11 @@ def count_phrases(
     seqs = materialize(word_ids(chunks, levels[0]), "seqs")
     discard(chunks)
     for length in range(2, LONGEST + 1):
-        parts = tiles(seqs, salts, bits, dense)
-        levels.append(ranked(frequent_cells(parts, least, bits), "a", "b"))
+        wide = tile_bits(levels[-1].count(), bits)
+        parts = tiles(seqs, salts, bits, dense, wide)
+        levels.append(ranked(frequent_cells(parts, least, bits, wide), "a", "b"))
         if length < LONGEST:
-            then = materialize(pair_ids(seqs, parts, levels[-1], salts, bits), "seqs")
+            then = materialize(pair_ids(seqs, parts, levels[-1], salts, bits, wide), "seqs")
             discard(seqs)
             seqs = then
     discard(seqs)

@@ -87,6 +87,31 @@ def test_dense_sparse_and_far_tiles_count_alike():
             assert found == want
 
 
+def test_tiles_a_chunk_do_not_grow_with_the_ids():
+    rng = np.random.default_rng(3)
+    most = (collocations.HEAD + collocations.BEYOND) ** 2
+    for n in (1_000, 20_000, 400_000, 3_000_000, 1 << 30):
+        a, b = rng.integers(0, n, (2, 40_000))
+        wide = collocations.tile_bits(n)
+        assert ((n - 1 - (collocations.HEAD << collocations.BITS)) >> wide) < collocations.BEYOND
+        tiles = [(x, y, collocations._cells(collocations._packed(c)), k) for x, y, c, k in collocations.count_cells(a, b, wide=wide)]
+        assert len(tiles) <= most
+        found = Counter()
+        for x, y, cells, counts in tiles:
+            left, right = collocations._pairs_of(x, y, cells, collocations.BITS, wide=wide)
+            found.update(dict(zip(zip(left.tolist(), right.tolist(), strict=True), counts.tolist(), strict=True)))
+        assert found == Counter(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_many_ids_in_wider_tiles(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{int(rng.random() ** 2 * 700)}" for _ in range(120)), "en") for _ in range(150)] * 2
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    _, levels = collocations.count_phrases(df, least=2, chunk=3_000, bits=1)
+    assert collocations.tile_bits(levels[1].count(), 1) > 1 + collocations.WIDER
+    assert got(collocations.collocations(df, least=2, chunk=3_000, bits=1)) == brute(rows, least=2)
+
+
 def test_sums_above_64_bits_are_exact(spark):
     big = 9 * 10**18
     df = spark.createDataFrame([(big, big, big), (big - 1, big, big), (10**18 + 7, 3 * 10**18, 5), (30, 30, 31)], "a long, l long, r long")
