@@ -1,7 +1,8 @@
 """A cash-limited daily portfolio over pattern signals of ranked names.
 
-Patterns as of every date, entries and exits are computed for all candidates in parallel; an
-exit never depends on cash. What is left for the sequential part is a few candidates per date
+Entries and exits are computed for all candidates in parallel; an exit never depends on cash.
+Patterns are detected at the listed names' signal dates, which gives the candidates, and then at the
+dates on which a candidate may still be held, which tells when its pattern is gone. What is left for the sequential part is a few candidates per date
 and scenario: names held are at most ``max_positions``, so the best ``top_n + max_positions``
 of a date always contain its best ``top_n`` names not held.
 """
@@ -56,20 +57,36 @@ def patterns_as_of(bars: DataFrame, cfg: PatternConfig = PatternConfig(), lookba
     return pt.detect(en.prefixes(bars, every), cfg, TRADED, keys)
 
 
+def patterns_at(
+    bars: DataFrame, points: DataFrame, cfg: PatternConfig = PatternConfig(), lookback: int = ALL_BARS,
+) -> DataFrame:
+    """``patterns_as_of`` at the bars of ``points`` (``symbol, eval_idx``) only."""
+    known = points.filter(F.col("eval_idx") >= cfg.min_bars - 1)
+    return pt.detect(en.prefixes_at(bars, known, ["symbol"], lookback), cfg, TRADED, ["symbol", "eval_idx"])
+
+
 def panel(bars: DataFrame, found: DataFrame, dates: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
-    """Prices on the ledger's dates, with whether each traded pattern is still detected."""
+    """Prices on the ledger's dates, with whether each traded pattern is gone: looked for and not detected."""
     kinds = found.groupBy("symbol", F.col("eval_idx").alias("idx")).agg(*[
         F.bool_or(F.col("pattern_type") == k).alias(f"has_{k}") for k in TRADED])
     out = bars.withColumn("date", F.col("ts").cast("date")).join(dates, "date").join(kinds, ["symbol", "idx"], "left")
     known = F.col("idx") >= cfg.min_bars - 1
     gone = {f"gone_{k}": known & ~F.coalesce(f"has_{k}", F.lit(False)) for k in TRADED}
-    return out.withColumns(gone).select("symbol", "date", "pos", "lpos", "open", "high", "low", "close", *gone)
+    return out.withColumns(gone).select("symbol", "date", "idx", "pos", "lpos", "open", "high", "low", "close", *gone)
+
+
+def still_open(placed: DataFrame, prices: DataFrame) -> DataFrame:
+    """``symbol, eval_idx``: the bars after entry at which a candidate with these exits may be held."""
+    last = F.coalesce(F.col("exit_lpos"), F.col("n_dates") - 1).cast("int")
+    first = F.col("scan_from").cast("int")
+    days = placed.filter(first <= last).select("symbol", F.explode(F.sequence(first, last)).alias("lpos")).distinct()
+    return days.join(prices, ["symbol", "lpos"]).select("symbol", F.col("idx").alias("eval_idx"))
 
 
 def calendar(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """Ledger dates: signal dates with their number, and both positions of those that are trading days.
 
-    ``last`` is the ``lpos`` of the latest trading day up to a date, null before the first one.
+    Trading days are the ``ts`` of ``bars``. ``last`` is the ``lpos`` of the latest trading day up to a date, null before the first one.
     """
     days = bars.select(F.col("ts").cast("date").alias("date")).distinct()
     days = days.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
@@ -105,12 +122,7 @@ def candidates(
     best = pt.best_pattern(found, ["symbol", "eval_idx"]).select(
         "symbol", "eval_idx", "pattern_type", "confidence", F.col("stop").alias("pattern_stop"),
         F.col("target1").alias("target"))
-    names = signals(rankings).select("symbol", "data_date", "rank")
-    at = as_of_last(
-        names.withColumnRenamed("data_date", "date"),
-        bars.select("symbol", F.col("ts").cast("date").alias("date"), F.col("idx").alias("eval_idx")),
-        ["symbol"], "eval_idx")
-    rows = at.join(best, ["symbol", "eval_idx"]).join(dates.select("date", "lpos", "n_dates"), "date")
+    rows = listed(rankings, bars).join(best, ["symbol", "eval_idx"]).join(dates.select("date", "lpos", "n_dates"), "date")
     w = Window.partitionBy("date").orderBy(F.col("confidence").desc(), "rank", "symbol")
     few = rows.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= widest)
     return few.crossJoin(scenarios).filter(F.col("ord") <= F.col("top_n") + F.col("max_positions"))
@@ -121,6 +133,15 @@ def signals(rankings: DataFrame) -> DataFrame:
         (F.col("ranking_type") == "top100") & (F.col("long_short") == "Long in") & (F.col("rank") <= MAX_RANK))
 
 
+def listed(rankings: DataFrame, bars: DataFrame) -> DataFrame:
+    """The names of each signal date with the latest bar up to it."""
+    names = signals(rankings).select("symbol", "data_date", "rank")
+    return as_of_last(
+        names.withColumnRenamed("data_date", "date"),
+        bars.select("symbol", F.col("ts").cast("date").alias("date"), F.col("idx").alias("eval_idx")),
+        ["symbol"], "eval_idx")
+
+
 def with_exits(cands: DataFrame, prices: DataFrame) -> DataFrame:
     """Entry and exit of every candidate, as if it were bought."""
     entry_at = F.when(F.col("use_close"), F.col("lpos")).otherwise(F.col("lpos") + 1)
@@ -247,27 +268,40 @@ def play(pdf: pd.DataFrame) -> pd.DataFrame:
 def run(
     rankings: DataFrame, bars: DataFrame, scenarios: Sequence[Scenario],
     cfg: PatternConfig = PatternConfig(), lookback: int = ALL_BARS, found: DataFrame | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Trades (``kind = trade``) and daily equity (``kind = equity``) of every scenario."""
+    """Trades (``kind = trade``) and daily equity (``kind = equity``) of every scenario.
+
+    ``bars`` need hold the names of ``signals`` only if ``days`` has the ``ts`` of all bars.
+    """
     spark = bars.sparkSession
     table = scenario_table(spark, scenarios)
-    names = signals(rankings).select("symbol").distinct()
-    own = bars.join(names, "symbol", "left_semi")
-    if found is None:
-        found = materialize(patterns_as_of(own, cfg, lookback), "as_of_patterns")
-    every = materialize(calendar(bars, signals(rankings)), "ledger_dates")
+    rankings = materialize(signals(rankings), "ledger_names")
+    own = materialize(bars.join(rankings.select("symbol").distinct(), "symbol", "left_semi"), "ledger_bars")
+    every = materialize(calendar(bars if days is None else days, rankings), "ledger_dates")
     dates = every.filter(F.col("lpos").isNotNull())
-    prices = materialize(panel(own, found, dates.select("date", "pos", "lpos"), cfg), "ledger_prices")
+    on = dates.select("date", "pos", "lpos")
     widest = max(s.top_n + s.max_positions for s in scenarios)
-    cands = materialize(candidates(rankings, own, found, dates, table, widest), "ledger_candidates")
+    at_entry = found
+    if found is None:
+        asked = listed(rankings, own).select("symbol", "eval_idx")
+        at_entry = materialize(patterns_at(own, asked, cfg, lookback), "entry_patterns")
+    cands = materialize(candidates(rankings, own, at_entry, dates, table, widest), "ledger_candidates")
+    if found is None:
+        # A lost pattern can only bring an exit forward, so it matters up to the exit without it.
+        plain = materialize(panel(own, at_entry.limit(0), on, cfg).withColumns(
+            {f"gone_{k}": F.lit(False) for k in TRADED}), "ledger_plain")
+        held = materialize(still_open(with_exits(cands, plain), plain), "ledger_held")
+        found = materialize(patterns_at(own, held, cfg, lookback), "held_patterns")
+    prices = materialize(panel(own, found, on, cfg), "ledger_prices")
     placed = with_path(with_exits(cands, prices), prices)
     keep = ["scenario", "symbol", "signal_lpos", "ord"]
     traded = placed.select(*keep, "cand", "entry_lpos", "entry_price", F.col("exit_lpos").cast("double").alias("exit_lpos"),
                            "exit_price", "exit_reason", "path", F.lit(True).alias("tradable"))
     # names that cannot be entered still take their place in the day's list
-    listed = cands.withColumnRenamed("lpos", "signal_lpos").select(
+    ranked = cands.withColumnRenamed("lpos", "signal_lpos").select(
         *keep, "rank", "confidence", "pattern_type", "capital", "max_positions", "top_n", "use_close", "n_dates")
-    rows = listed.join(traded, keep, "left").withColumn("tradable", F.coalesce("tradable", F.lit(False)))
+    rows = ranked.join(traded, keep, "left").withColumn("tradable", F.coalesce("tradable", F.lit(False)))
     done = materialize(rows.groupBy("scenario").applyInPandas(play, _OUT), "ledger_played")
     return on_every_date(done, every, table)
 

@@ -22,7 +22,13 @@ SCENARIOS = (
 
 
 def ledger(spark, sf):
-    return tables.built(spark, sf, "ledger", lambda: lg.run(tables.rankings(spark, sf), month(spark, sf), SCENARIOS))
+    def build():
+        ranks = tables.rankings(spark, sf)
+        names = lg.signals(ranks).select("symbol").distinct()
+        bars = tables.month_bars_of(spark, sf, names, "bars_month_ledger")
+        return lg.run(ranks, bars, SCENARIOS, days=tables.months(spark, sf))
+
+    return tables.built(spark, sf, "ledger", build)
 
 
 @reg.add("g23_ledger_trades")

@@ -364,3 +364,34 @@ def test_composite_searches_listed_names_only(spark):
     columns = ["symbol", "pattern_type", "status", "confidence", "recommendation", "composite"]
     got = qs.scored(spark, sf).select(*columns).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want.select(*columns).collect())) and any(r.pattern_type for r in got)
+
+
+def test_ledger_detects_patterns_only_where_they_matter(spark, monkeypatch):
+    frames = [random_bars(110, 50 + k, f"N{k}", step=3) for k in range(9)]
+    dates = sorted({d for f in frames for d in f["ts"].dt.date})
+    rng = np.random.default_rng(6)
+    rank = pd.DataFrame([(d, str(s), int(r) + 1, "top100", "Long in" if rng.random() > 0.9 else "Short in")
+                         for d in dates[20:] for r, s in enumerate(rng.permutation([f"N{k}" for k in range(9)]))],
+                        columns=["data_date", "symbol", "rank", "ranking_type", "long_short"])
+    bars, rank = to_spark(spark, *frames), spark.createDataFrame(rank)
+    scenarios = (lg.Scenario("intraday"), lg.Scenario("close", hard_stop=0.05, use_close=True, stop_limit=True),
+                 lg.Scenario("hold", max_hold=4))
+    every = lg.patterns_as_of(bars).cache()
+    n_every = lg.en.prefixes(bars, lg.BacktestConfig(recompute_interval=1, warmup=lg.PatternConfig().min_bars - 1,
+                                                     lookback=lg.ALL_BARS)).count()
+    seen, detect = [], lg.pt.detect
+    monkeypatch.setattr(lg.pt, "detect", lambda b, *a, **k: seen.append(b.count()) or detect(b, *a, **k))
+    got = lg.run(rank, bars, scenarios)
+    assert 0 < sum(seen) < n_every / 2
+    want = lg.run(rank, bars, scenarios, found=every)
+    order = ["scenario", "kind", "lpos", "symbol"]
+    a, b = (x.toPandas().sort_values(order).reset_index(drop=True) for x in (got, want))
+    assert (a["kind"] == "trade").sum() > 4
+    pd.testing.assert_frame_equal(a[list(b.columns)], b)
+    points = spark.createDataFrame([("N1", 60), ("N1", 90), ("N4", 75)], "symbol string, eval_idx bigint")
+    some = lg.patterns_at(bars, points).drop("key_points").toPandas()
+    full = every.join(points, ["symbol", "eval_idx"]).drop("key_points").toPandas()
+    ids = ["symbol", "eval_idx", "pattern_type", "start_idx", "end_idx"]
+    assert len(full) > 0
+    pd.testing.assert_frame_equal(some[sorted(full.columns)].sort_values(ids).reset_index(drop=True),
+                                  full[sorted(full.columns)].sort_values(ids).reset_index(drop=True))
