@@ -173,3 +173,19 @@ def test_the_floor_leaves_no_partner_out():
         for k in every:
             near = any(passages.verified(*contexts[k], *contexts[o], least, 0.8) for o in every if o != k)
             assert got[k] or not near
+
+
+def test_tables_of_texts_and_places_are_small(spark, monkeypatch):
+    seen, write = {}, substrings.materialize
+
+    def kept(df, name="stage", *codec):
+        out = write(df, name, *codec)
+        seen[name] = (df.columns, [f.rsplit("-", 1)[-1].split(".", 1)[1] for f in out.inputFiles()])
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", kept)
+    texts = repeats(random.Random(3))
+    substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=90).count()
+    assert seen["anchors"][0] == ["node", "at", "gram"]  # a hash of node and place is not stored with them
+    for name in ("anchors", "contexts"):
+        assert seen[name][1] and all(f == "zstd.parquet" for f in seen[name][1])
