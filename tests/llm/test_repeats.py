@@ -7,7 +7,7 @@ import pytest
 from odd import no_docs, odd_docs, prose  # noqa: F401
 
 from candlemill.llm import passages, substrings
-from candlemill.llm.text import SEGMENT, shingle_hashes, words
+from candlemill.llm.text import SEGMENT, gram_hashes, shingle_hashes, words
 
 
 def test_order_is_sorted():
@@ -175,6 +175,102 @@ def test_the_floor_leaves_no_partner_out():
             assert got[k] or not near
 
 
+def test_passages_with_an_edit_near_an_end_are_found(spark):
+    rng = random.Random(11)
+    fresh = lambda n: prose(rng, n, 10**7)
+    rows, want = [], []
+    for k in range(30):  # 43 of 49 n-grams in common
+        words_, at = fresh(50).split(), 2 if k % 2 else 47
+        changed = words_[:at] + ["other%d" % k] + words_[at + 1 :]
+        rows += [(2 * k, f"{fresh(20)} {' '.join(words_)} {fresh(20)}"), (2 * k + 1, f"{fresh(20)} {' '.join(changed)} {fresh(20)}")]
+        want += [(d, 23, 70) if k % 2 else (d, 20, 67) for d in (2 * k, 2 * k + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.start, r.stop) for r in passages.near_passages(df).collect()) == want
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    rng = random.Random(12)
+    texts = [" ".join("w%d" % rng.randrange(v) for _ in range(rng.randrange(120))) for v in [1, 2, 3, 30, 1000, 10**6] * 5]
+    grams, bounds = gram_hashes(texts, 5)
+    assert [len(set(grams[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)] == [
+        len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for w in map(words, texts)
+    ]
+    for width in (2, 5, 12, 46):
+        long = np.diff(bounds) >= width
+        own = grams[np.repeat(long, np.diff(bounds))]
+        ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[long])])
+        want = [
+            (max(left, c - width) + a, c + a, min(right, c + width) + a)
+            for a, b in zip(ends, ends[1:], strict=False) for left, c, right in passages.windows(own[a:b], width)
+        ]
+        assert list(zip(*passages.compact(own, ends, width), strict=True)) == want
+
+
+def runs_of(a, at, b, bt, least, similarity):
+    """Places that any two similar runs share, from all pairs of runs."""
+    found = set()
+    for i in range(at + 1):
+        for j in range(max(at, i + least - 1), len(a)):
+            for p in range(bt + 1):
+                for q in range(max(bt, p + least - 1), len(b)):
+                    x, y = set(a[i : j + 1]), set(b[p : q + 1])
+                    if len(x & y) >= similarity * len(x | y) - 1e-9:
+                        found |= {k for k in range(i, j + 1) if a[k] in y}
+    return found
+
+
+def test_runs_are_those_of_all_pairs_of_runs():
+    rng, hits = np.random.default_rng(13), 0
+    for trial in range(120):
+        least, similarity, contexts = int(rng.integers(3, 7)), (0.6, 0.8)[trial % 2], []
+        base = rng.integers(0, int(rng.choice([6, 12, 1000])), 2 * least + 2)
+        for _ in range(int(rng.integers(2, 5))):
+            c, at = base.tolist(), least + 1
+            c[at] = 5000
+            for _ in range(int(rng.integers(3))):  # words are replaced, put in, taken out, swapped
+                k, other, kind = int(rng.integers(len(c))), int(rng.integers(len(c))), rng.integers(4)
+                if k == at or other == at:
+                    continue
+                if kind == 1:
+                    c.insert(k, int(rng.integers(6000, 9000)))
+                    at += k <= at
+                elif kind == 2 and len(c) > least + 2:
+                    c.pop(k)
+                    at -= k < at
+                else:
+                    c[k], c[other] = (c[other], c[k]) if kind == 3 else (int(rng.integers(6000, 9000)), c[other])
+            low = max(0, at - least)
+            contexts.append((np.array(c[low : at + least + 1], np.uint32), at - low))
+        got = passages.similar_runs(contexts, [1] * len(contexts), least, similarity)
+        for k, (a, at) in enumerate(contexts):
+            near = set().union(*(
+                runs_of(a.tolist(), at, b.tolist(), bt, least, similarity) for o, (b, bt) in enumerate(contexts) if o != k
+            ))
+            assert got[k] == ([(min(near) - at, max(near) - at)] if near else [])
+            hits += bool(near)
+    assert hits > 50
+
+
+def test_equal_and_covered_windows_are_not_compared(spark, monkeypatch):
+    rows, write = [], passages.materialize
+
+    def kept(df, name="stage", *codec):
+        out = write(df, name, *codec)
+        if name == "windows":
+            rows.append((out.count(), out.where("asking").count() if "asking" in out.columns else out.count()))
+        return out
+
+    monkeypatch.setattr(passages, "materialize", kept)
+    rng = random.Random(15)
+    texts = [prose(rng, 300, 10**7) for _ in range(4)] * 3
+    texts = [f"{t} {prose(rng, 10, 10**7)}" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.stop) for r in passages.near_passages(df).collect())
+    assert got == [(k, 0, 300) for k in range(12)]
+    assert rows[0][1] < rows[0][0] / 2  # only those that reach the different ends
+    assert sum(r[1] for r in rows[1:]) < 2 * rows[0][0]  # of five functions
+
+
 def test_tables_of_texts_and_places_are_small(spark, monkeypatch):
     seen, write = {}, substrings.materialize
 
